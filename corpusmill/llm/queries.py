@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import fresh_path
 from ..sources.tables import table
-from . import bpe, packing, token_counts
+from . import bpe, folds, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -28,5 +29,64 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts)}
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = winnowing.edited_by_next(table(spark, sf_dir, "documents"))
+    return prints.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnowing.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arcs, id_col="page_id", url_col="url", body_col="html")
+    warc.convert(spark, arcs, warcs)
+    read = warc.read_warc(spark, warcs).where("record_type in ('response', 'revisit')")
+    own = spark.read.parquet(f"{sf_dir}/pages.parquet").schema["page_id"].dataType
+    return read.select(F.col("source_id").cast(own).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").cast(own).alias("refers_to"))
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str, most: int = 50_000) -> DataFrame:
+    """Ids of documents that ``labels`` marks as good: a bounded sample, so it can be broadcast."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id")
+    return folds.bounded_sample(good, "doc_id", most).select(F.col("doc_id").alias("trusted_id"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = quality_rules.quality_rules(docs, trusted_ids(spark, sf_dir))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~folds.held_out("doc_id")), "doc_id", "text", "lang")
+    return language_id.predict(docs, model).select("doc_id", folds.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    shards = sharding.external_shuffle(docs, ["doc_id", "text"], "size", fresh_path(spark, "shards"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return shards.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~folds.held_out("doc_id")).select("doc_id", "quality")
+    weights = quality_classifier.train(docs, labels, "doc_id", "text", "quality")
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", folds.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
