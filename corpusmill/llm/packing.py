@@ -14,6 +14,8 @@ by the capacity alone (under 12,000 for 2048), are packed together, longest firs
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,33 +39,37 @@ def cuts(n: int, capacity: int, slack: float = 0.02) -> list[int]:
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document's ids: id, start, ids (little-endian uint32), length, doc_tokens.
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """The pieces of every document's ids: id, start, length, doc_tokens, ids_crc32, and ids (little-endian uint32) if ``keep_ids``.
 
     A null or empty text is the end id alone. Rows with equal ids stay separate documents, told
     apart by ``row`` (a number of their own, stable for a stable input). Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "row", "start", "length", "doc_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
 
     def pieces(batches):
         ids, end = chunk_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out, at = {"start": [], "ids": [], "length": [], "doc_tokens": []}, []
+            at, starts, lengths, totals, crcs, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own, start = ids.ids(text) + end, 0
                 for n in cuts(len(own) // 4, capacity):
+                    piece = own[4 * start : 4 * (start + n)]
                     at.append(i)
-                    for k, v in (("start", start), ("ids", own[4 * start : 4 * (start + n)]), ("length", n), ("doc_tokens", len(own) // 4)):
-                        out[k].append(v)
+                    starts.append(start)
+                    lengths.append(n)
+                    totals.append(len(own) // 4)
+                    crcs.append(crc32(piece))
+                    if keep_ids:
+                        kept.append(piece)
                     start += n
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(2).take(take), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.binary()), pa.array(out["length"], pa.int64()), pa.array(out["doc_tokens"], pa.int64())],
-                names=["id", "row", "start", "ids", "length", "doc_tokens"],
-            )
+            longs = [pa.array(x, pa.int64()) for x in (starts, lengths, totals, crcs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *longs, *([pa.array(kept, pa.binary())] if keep_ids else [])], names=names)
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(pieces, f"id {kind}, row long, start long, ids binary, length long, doc_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(pieces, f"id {kind}, row long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("id", id_col)
 
 
 def _fill(capacity: int):
@@ -117,6 +123,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     Every id of every document lies in exactly one piece; a sequence holds at most ``capacity`` ids
     without gaps. Pieces are written once to the shared folder, since the packing reads them again.
     """
-    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
-    packed = harmonic_pack(written(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, keep_ids)
+    packed = harmonic_pack(written(pieces, "pieces"), capacity)
     return packed.drop("row")

@@ -9,9 +9,11 @@ Texts that contain the string of an added token are encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: A space that has white space before it, and white space or the end after it.
 _RUN = re.compile(r"\s (?:\s|\Z)")
@@ -21,6 +23,13 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?)?")
 
 
+def _byte_signs() -> dict[int, str]:
+    """Byte -> the sign that stands for it in a byte-level vocabulary: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class ChunkIds(dict):
     """Chunk without its leading space -> ids of " " + chunk as little-endian uint32 bytes.
 
@@ -33,18 +42,32 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.parts: dict[str, bytes] = {}
+        #: What the model alone may encode: with nothing but the byte-level step before it, a pre-token.
+        self.model = self.tokenizer.model if self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) else None
+        self.signs = _byte_signs()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, text: str) -> bytes:
+        """The ids of one pre-token."""
         if (out := self.parts.get(text)) is None:
             if len(self.parts) >= self.most:
                 self.parts.clear()
-            self.parts[text] = out = self.encoded(text)
+            if self.model:
+                out = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]).tobytes()
+            else:
+                out = self.encoded(text)
+            self.parts[text] = out
         return out
 
+    def first(self, chunk: str) -> bytes:
+        """The ids of a chunk without a space before it."""
+        if m := _PLAIN.fullmatch(chunk):
+            return b"".join(self.part(x) for x in m.groups() if x)
+        return self.encoded(chunk)
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
@@ -70,7 +93,7 @@ class ChunkIds(dict):
         chunks = self.chunks(text)
         if chunks is None:
             return self.encoded(text)
-        return self.encoded(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
+        return self.first(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
 
 
 _CACHES: dict[str, ChunkIds] = {}

@@ -60,7 +60,7 @@ class Lengths(dict):
         chunks = self.ids.chunks(text)
         if chunks is None:
             return len(self.ids.encoded(text)) // 4
-        return len(self.ids.part(chunks[0])) // 4 + sum(map(self.__getitem__, chunks[1:]))
+        return len(self.ids.first(chunks[0])) // 4 + sum(map(self.__getitem__, chunks[1:]))
 
 
 _TIERS: dict[tuple, Lengths] = {}
