@@ -135,15 +135,17 @@ class Scorer:
 _SCORERS: dict = {}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every whole text.
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id, lang_pred, score of every whole text; with ``keep``, those columns of ``docs``, _lang_pred and _score.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if the model has
     no language; equal scores go to the first language by name; repeated rows and null ids stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
     key = (docs.sparkSession.sparkContext.applicationId, id(shared), len(model["words"]))
-    kind = docs.schema[id_col].dataType.simpleString()
+    names = keep or [id_col]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
     def each(batches):
         if key not in _SCORERS:
@@ -151,7 +153,10 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["id", "lang_pred", "score"])
+            found = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(each, f"{kinds}, lang_pred string, score double")
+    mark = "_" if keep else ""
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("lang_pred").alias(f"{mark}lang_pred"), F.col("score").alias(f"{mark}score"))

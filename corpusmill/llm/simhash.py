@@ -109,3 +109,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(least, "root").select("fp", "component_id")
     out = prints.join(placed, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, segments: int = 16) -> DataFrame:
+    """One row of each group of near duplicates with all its columns: that with the smallest id, the first read of equals.
+
+    A null id comes before all others. Rows are told apart by their place in ``docs``, which is read
+    twice and must give the same rows in the same order: a scan of files.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = placed.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), F.col(text_col).alias("_text"))
+    groups = near_duplicates(keyed, "_key", "_text", shingle_words, segments)
+    firsts = groups.where("_key = component_id").select(F.col("_key.row").alias("_row"))
+    return placed.join(firsts, "_row", "left_semi").select(*docs.columns)
