@@ -4,7 +4,7 @@ A 64-bit fingerprint is cut into ``segments`` equal segments; the vector of thei
 by at most one unit, in Manhattan distance, for each bit that differs. So fingerprints within two
 bits have vectors within distance two, and then some grid point lies within one unit of both. The
 range join is an equi-join on grid points: each distinct fingerprint goes to its own point and its
-neighbours (33 for 16 segments), and points that hold one fingerprint only drop out.
+neighbours (49 on average for 32 segments), and points that hold one fingerprint only drop out.
 
 What is left is verified exactly, again without pairs: each fingerprint goes to the 65 points of
 Hamming distance one or less around it. Two fingerprints that share such a point differ in two bits
@@ -60,19 +60,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each, f"id {kind}, fp long")
 
 
-def grid_points(fp: Column, segments: int = 16) -> Column:
-    """The packed popcount vector of a fingerprint and the vectors at Manhattan distance one."""
+def grid_points(fp: Column, segments: int = 32) -> Column:
+    """The packed popcount vector of a fingerprint and the vectors at Manhattan distance one.
+
+    More segments tell more fingerprints apart at the price of more neighbours: with 16, chance
+    neighbours among n fingerprints outgrow n from some 10**5 on, with 32 from some 10**9 on.
+    """
     width = 64 // segments
     bits = (width + 1).bit_length()
     counts = [F.bit_count(F.shiftright(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(segments)]
-    own = counts[0]
+    own = F.shiftleft(counts[0], 0)
     for i, c in enumerate(counts[1:], 1):
-        own = own + F.shiftleft(c, bits * i)
+        own = own.bitwiseOR(F.shiftleft(c, bits * i))
+    # a step replaces one count by its neighbour; the highest count may fill the sign bit, so nothing is added
     steps = [F.lit(0).cast("long")]
     for i, c in enumerate(counts):
-        steps += [F.when(c < width, F.lit(1 << bits * i).cast("long")), F.when(c > 0, F.lit(-(1 << bits * i)).cast("long"))]
+        steps += [F.when(c < width, F.shiftleft(c.bitwiseXOR(c + 1), bits * i)), F.when(c > 0, F.shiftleft(c.bitwiseXOR(c - 1), bits * i))]
     # the vector is bound once, not once for each step
-    return F.flatten(F.transform(F.array(own), lambda at: F.transform(F.array_compact(F.array(*steps)), lambda step: at + step)))
+    return F.flatten(F.transform(F.array(own), lambda at: F.transform(F.array_compact(F.array(*steps)), lambda step: at.bitwiseXOR(step))))
 
 
 def ball_points(fp: Column) -> Column:
@@ -87,14 +92,14 @@ def _crowded(points: DataFrame) -> DataFrame:
     return points.join(held.select("point", "least"), "point").select("fp", "least")
 
 
-def linked(distinct: DataFrame, segments: int = 16) -> DataFrame:
+def linked(distinct: DataFrame, segments: int = 32) -> DataFrame:
     """Links a > b that connect exactly the fingerprints connected by pairs within two bits. ``distinct``: fp, each once."""
     near = _crowded(distinct.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("point"))).select("fp").distinct()
     exact = _crowded(near.select("fp", F.explode(ball_points(F.col("fp"))).alias("point")))
     return exact.where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, segments: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, segments: int = 32) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
 
     Repeated rows are returned each; a null id is never a component's smallest unless all its ids are
@@ -111,7 +116,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, segments: int = 16) -> DataFrame:
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, segments: int = 32) -> DataFrame:
     """One row of each group of near duplicates with all its columns: that with the smallest id, the first read of equals.
 
     A null id comes before all others. Rows are told apart by their place in ``docs``, which is read
