@@ -34,3 +34,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most ``rows`` rows in a batch for a Python worker: 10,000 long documents, the default, would not fit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
