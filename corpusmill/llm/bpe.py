@@ -16,6 +16,7 @@ its text, added tokens inside it included.
 
 from __future__ import annotations
 
+import os
 from array import array
 from zlib import crc32
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..scratch import written
+from ..scratch import bounded_batches, written
 
 #: Rows that a Python worker sends at a time, so that no batch grows with the number of documents.
 ROWS = 512
@@ -80,7 +81,7 @@ def _blocks(batches, buckets: int, block_bytes: int):
         yield block()
 
 
-def word_rows(docs: DataFrame, buckets: int, block_bytes: int = 32 << 20) -> DataFrame:
+def word_rows(docs: DataFrame, buckets: int, block_bytes: int = 12 << 20) -> DataFrame:
     """The words of each block: bucket, block, words (sorted, joined by line ends and compressed)."""
 
     def words(batches):
@@ -91,7 +92,7 @@ def word_rows(docs: DataFrame, buckets: int, block_bytes: int = 32 << 20) -> Dat
     return docs.mapInArrow(words, "bucket int, block long, words binary")
 
 
-def numbered(docs: DataFrame, buckets: int, block_bytes: int = 32 << 20) -> DataFrame:
+def numbered(docs: DataFrame, buckets: int, block_bytes: int = 12 << 20) -> DataFrame:
     """A row for each document: block, id, words (its word numbers, compressed)."""
     kind = docs.schema[0].dataType.simpleString()
 
@@ -111,6 +112,7 @@ def encoded_words(words: DataFrame, tokenizer_path: str, buckets: int, most: int
     """
 
     def encode(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -155,7 +157,7 @@ def _joined(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, block_bytes: int = 12 << 20) -> DataFrame:
     """Ids of every whole text: id, n_tokens, ids (little-endian uint32).
 
     Null, empty and blank texts have no ids; repeated rows and null ids stay; an empty table gives an
@@ -163,6 +165,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     hold the same rows in the same order both times: true of a scan of files (``stable``); any other
     input is first written to the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col))
     docs = docs if stable else written(docs, "texts")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
