@@ -28,18 +28,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def buckets_of(words: Column, bits: int) -> Column:
-    """Hash buckets of a text's words, split further into runs of letters or digits and of other signs, and of pairs of them."""
-    text = F.array_join(words, " ")
-    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"), F.lit(0))
-    mask = F.lit((1 << bits) - 1)
+def token_hashes(text: Column) -> Column:
+    """64-bit hashes of a text's runs of letters or digits and runs of other signs, in order."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(parts, lambda w: F.xxhash64(w))
 
-    def both(p: Column) -> Column:
-        one = F.transform(p, lambda w: F.xxhash64(w).bitwiseAND(mask))
-        two = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(mask)))
-        return F.concat(one, F.array_compact(two))
 
-    return let(parts, both)
+def buckets_of(text: Column, bits: int) -> Column:
+    """Hash buckets of a text's tokens and of its pairs of neighbours; the last token's pair is with the end of the text."""
+    mask = F.lit((1 << bits) - 1)
+    pair = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)).bitwiseAND(mask))
+    return let(token_hashes(text), lambda h: F.concat(F.transform(h, lambda x: x.bitwiseAND(mask)), pair(h)))
 
 
 def llr_model(docs: DataFrame, trusted: Column, text_col: str = "text", bits: int = 16) -> DataFrame:
@@ -48,7 +47,7 @@ def llr_model(docs: DataFrame, trusted: Column, text_col: str = "text", bits: in
     Without trusted text all ratios are 0. From the sums on, no table has more than 2 ** bits rows.
     """
     size = 1 << bits
-    rows = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("trusted"), F.explode(buckets_of(words_of(F.col(text_col)), bits)).alias("bucket"))
+    rows = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("trusted"), F.explode(buckets_of(F.col(text_col), bits)).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("r"))
     every = docs.sparkSession.range(size).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     one = every.agg(F.sort_array(F.collect_list(F.struct("id", "t", "r"))).alias("all"), F.sum("t").alias("nt"), F.sum("r").alias("nr"))
@@ -58,8 +57,10 @@ def llr_model(docs: DataFrame, trusted: Column, text_col: str = "text", bits: in
 
 def llr_score(text: Column, ratios: Column, bits: int = 16) -> Column:
     """Mean log ratio over the n-grams of a text; 0 for a text without any."""
-    mean = lambda b, r: F.aggregate(b, F.lit(0.0), lambda total, k: total + F.get(r, k.cast("int"))) / F.greatest(F.size(b), F.lit(1))
-    return let(buckets_of(words_of(text), bits), lambda b: mean(b, ratios))
+    at = lambda h: F.get(ratios, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
+    both = lambda h: F.transform(h, lambda x, i: at(x) + at(F.xxhash64(x, F.get(h, i + 1))))
+    total = lambda h: F.aggregate(both(h), F.lit(0.0), lambda t, x: t + x)
+    return let(token_hashes(text), lambda h: total(h) / F.greatest(2 * F.size(h), F.lit(1)))
 
 
 def _repeat_words(words: Column) -> Column:
