@@ -1,0 +1,355 @@
+"""The ten operators against the libraries, brute force and held-out labels; nulls, empty and long texts, repeats, empty tables, clashing names."""
+
+import base64
+import gzip
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+from corpusmill.llm import bpe, folds, language_id, packing, quality_classifier, quality_rules, queries, sharding, simhash, token_counts, warc, winnowing
+from corpusmill.scratch import fresh_path
+
+BYTE, WORD = public_tokenizers.path(queries.BYTE_BPE), public_tokenizers.path(queries.WORD_BPE)
+ODD = [
+    None,
+    "",
+    "   \n\t ",
+    "The cat's 12 hats, naïve café!",
+    "The cat's 12 hats, naïve café!",
+    "a  b   c \n\n d <|endoftext|> e<|startoftext|>f",
+    "ΣΑΣ İstanbul ́x  y 你好，世界 🙂",
+    "word " * 30_000,
+    "x" * 50_000,
+    "one two",
+    "$$$ ### |",
+]
+SCHEMA = "doc_id long, text string, n_tokens string, row string, word string, block long, id long, kept int, _text string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "clash", "clash", "w", 7, 8, 9, "t") for i, t in enumerate(ODD)] + [(None, "no id", *(None,) * 7), (3, ODD[3], *(None,) * 7)]
+    path = fresh_path(spark, "odd")
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(rows, expected):
+    assert sorted(map(repr, rows)) == sorted(map(repr, expected))
+
+
+def test_bpe(odd, empty):
+    t = Tokenizer.from_file(WORD)
+    got = bpe.decode(bpe.encode(odd, WORD, stable=True, block_bytes=20_000), WORD).collect()
+    expected = []
+    for r in odd.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        expected.append((r.doc_id, len(ids), np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)))
+    same([(r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got], expected)
+    assert bpe.encode(empty, WORD).count() == 0
+
+
+def test_token_counts(odd, empty):
+    t = Tokenizer.from_file(BYTE)
+    expected = [(r.doc_id, len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect()]
+    for rows in (0, 3, 1000):  # the frequent tier never changes a count
+        same([tuple(r) for r in token_counts.count_tokens(odd, BYTE, table_rows=rows).collect()], expected)
+    assert token_counts.count_tokens(empty, BYTE).count() == 0
+
+
+def test_packing(odd, empty, spark):
+    t = Tokenizer.from_file(BYTE)
+    got = packing.pack_documents(odd, BYTE, end_id=1).collect()
+    texts = Counter(tuple(t.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in odd.collect())
+    by_doc: dict = {}
+    for r in got:
+        assert r.length == len(r.ids) // 4 and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    assert sum(r.length for r in got) == sum(len(k) * n for k, n in texts.items())
+    for (doc_id, n), pieces in by_doc.items():
+        starts = Counter(p.start for p in pieces)
+        copies = starts[0]
+        assert sum(p.length for p in pieces) == n * copies and set(starts.values()) == {copies}
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack_documents(empty, BYTE, end_id=1).count() == 0
+
+
+def test_cuts():
+    for n in range(1, 5000):
+        parts = packing.cuts(n, 2048)
+        assert sum(parts) == n and max(parts) <= 2048 and len(parts) <= n // 2048 + 6
+
+
+def test_full_bins_hold_a_fixed_count(spark):
+    pieces = spark.range(5000).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("start"), (F.col("id") % 700 + 300).alias("length"))
+    got = packing.harmonic_pack(pieces).where("sequence_id >= (1L << 40)").collect()
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert bins and all(len(b) == s >> 40 and {2048 // x for x in b} == {s >> 40} for s, b in bins.items())
+
+
+def brute_winnow(text, k=4, window=8):
+    """Least hash of each window, the rightmost of equals, by position."""
+    import ctypes
+
+    tokens = re.findall(r"[^ \n\t\x0b\f\r]{1,24}", text or "")
+
+    def h(x):
+        return xxh64_intdigest(x, 42)
+
+    def row(values):  # Spark's xxhash64 of several longs: each seeds the next
+        seed = 42
+        for v in values:
+            seed = xxh64_intdigest(np.array([v], "<u8").tobytes(), seed)
+        return ctypes.c_int64(seed).value
+
+    one = [h(t) for t in tokens]
+    grams = [row(one[i : i + k]) for i in range(max(len(one) - k + 1, min(len(one), 1)))]
+    grams = [g >> 32 for g in grams]
+    out = []
+    for i in range(max(len(grams) - window + 1, min(len(grams), 1))):
+        j = min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j], -j))
+        if (grams[j], j) not in out:
+            out.append((grams[j], j))
+    return out
+
+
+def test_winnowing(odd, spark):
+    texts = [t for t in ODD if t is None or len(t) < 1000] + ["a b a b a b a b a b a b a b a b", "lorem ipsum dolor sit amet " * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows.select("doc_id", winnowing.winnow(F.col("text")).alias("f")).select("doc_id", F.transform("f", lambda x: F.shiftright(x, 31)).alias("h"), winnowing.positions(F.col("f")).alias("p")).collect()
+    for r in got:
+        assert list(zip(r.h, r.p)) == brute_winnow(texts[r.doc_id])
+
+
+def test_edited_by_next(odd, empty, spark):
+    rows = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    path = fresh_path(spark, "unique")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    texts = [r.text or "" for r in rows.orderBy("doc_id").collect()]
+    got = winnowing.edited_by_next(rows).orderBy("doc_id").collect()
+    assert len(got) == len(texts)
+    for i, r in enumerate(got):
+        cut = len(texts[i]) // 4
+        assert r.edited_text == texts[i][: len(texts[i]) - cut] + texts[(i + 1) % len(texts)][:cut]
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert winnowing.edited_by_next(odd).count() == len(ODD) + 2
+    assert winnowing.edited_by_next(empty).count() == 0
+
+
+def test_next_over_many_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5003).alias("k"), F.col("id").cast("string").alias("v"))
+    got = winnowing.with_next(rows, "k", F.col("k"), "after", range_rows=100).collect()
+    keys = sorted(r.k for r in got)
+    after = dict(zip(keys, keys[1:] + keys[:1]))
+    assert len(got) == 5000 and all(after[r.k] == r.after for r in got)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_warc(spark, version):
+    html = [None, "", "<p>\r\n\r\nWARC/1.1\r\n</p>", "<p>é</p>", "<p>é</p>", "x" * 100_000, "x" * 100_000]
+    pages = [(i + 1, f"http://a.example/{i} b" if i else None, h, "clash") for i, h in enumerate(html)] + [(9, "", "<p>é</p>", None)]
+    arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    warc.write_arc(spark.createDataFrame(pages, "page_id long, url string, html string, payload string").repartition(3), arcs, "page_id", "url", "html", version)
+    warc.convert(spark, arcs, warcs)
+    got = {int(r.source_id): r for r in warc.read_warc(spark, warcs).where("source_id is not null").collect()}
+    first: dict = {}
+    for i, _, h, _ in pages:
+        first.setdefault(h or "", i)
+    for i, url, h, _ in pages:
+        data, r = (h or "").encode(), got[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r.record_type, r.refers_to_id) == (("response", None) if first[h or ""] == i else ("revisit", str(first[h or ""])))
+        assert r.uri == (url or "unknown:").replace(" ", "%20") and r.ts == "2024-01-01T00:00:00Z"
+    assert warc.read_warc(spark, warcs).where("record_type = 'warcinfo'").count() >= 1
+
+
+def test_arc_records():
+    body = b"HTTP/1.0 200 OK\r\n\r\nhi"
+    v2 = b"filedesc://x 0.0.0.0 20000101000000 text/plain 200 - - 0 x 9\n2 0 test\n\nhttp://a/ b 1.2.3.4 20010203040506 text/html 200 c l 0 x %d\n%s\ndns:a 1.2.3.4 20010203040506 text/dns 200 - - 0 x 2\nok\nno header\n" % (len(body), body)
+    got = [(f["url"], b) for _, f, b in warc.arc_records(gzip.compress(v2))]
+    assert got == [("filedesc://x", b"2 0 test\n"), ("http://a/ b", body), ("dns:a", b"ok")]
+    record = warc._record("x", 0, {"url": "dns:a", "date": "20010203040506", "type": "text/dns"}, b"ok")
+    assert (record["record_type"], record["ts"], record["content_type"]) == ("resource", "2001-02-03T04:05:06Z", "text/dns")
+
+
+def test_quality_rules(odd, empty, spark):
+    trusted = spark.createDataFrame([(3,), (3,), (None,)], "trusted_id long")
+    got = quality_rules.quality_rules(odd, trusted, prefix="q_")
+    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for r in got.collect():
+        text = r.text or ""
+        w = word.findall(text)
+        windows = Counter(zip(w, w[1:], w[2:]))
+        covered = {j for i, g in enumerate(zip(w, w[1:], w[2:])) if windows[g] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in text.split("\n") if word.search(x)]
+        assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert r.q_base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (r.q_kept and r.q_base_failed)
+    assert quality_rules.quality_rules(empty, trusted).count() == 0
+
+
+def test_llr_equals_brute_force(spark):
+    import ctypes
+
+    texts = ["good text is good", "bad bad ### ###", "good bad", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = spark.createDataFrame([(0,)], "trusted_id long")
+    bits = 8
+
+    def longs(text):
+        return [xxh64_intdigest(t, 42) for t in re.findall(r"[^\W_]+|[^\s\w]+", text)]
+
+    def buckets(text):
+        h = longs(text)
+        out = [x & 255 for x in h]
+        for i, x in enumerate(h):
+            seed = xxh64_intdigest(np.array([x], "<u8").tobytes(), 42)
+            if i + 1 < len(h):
+                seed = xxh64_intdigest(np.array([h[i + 1]], "<u8").tobytes(), seed)
+            out.append(seed & 255)
+        return out
+
+    raw, good = Counter(b for t in texts for b in buckets(t)), Counter(buckets(texts[0]))
+    nr, nt = sum(raw.values()), sum(good.values())
+    ratio = {b: np.log((good[b] + 1) / (nt + 256)) - np.log((raw[b] + 1) / (nr + 256)) for b in range(256)}
+    got = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, trusted, bits=bits).collect()}
+    for i, t in enumerate(texts):
+        b = buckets(t)
+        assert got[i] == pytest.approx(sum(ratio[x] for x in b) / max(len(b), 1), abs=1e-12)
+    assert ctypes.c_int64(1).value == 1
+
+
+def test_language_id(spark, sf_dir, odd, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs.where(~folds.held_out("doc_id")), "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    held = docs.where(folds.held_out("doc_id")).collect()
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.values())
+    undecided = {r.doc_id: r.lang_pred for r in language_id.predict(odd, model).collect()}
+    assert [undecided[i] for i in (0, 1, 2, 10)] == ["und"] * 4 and undecided[3] in model["langs"]
+    assert language_id.predict(empty, model).count() == 0
+    nothing = language_id.train(empty.withColumn("lang", F.lit("en")), "doc_id", "text", "lang")
+    assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_backoff_prefers_longer_grams():
+    model = {"langs": ["a", "b"], "max_gram": 2, "words": {"yes": np.array([-1.0, -9.0], np.float32)}, "grams": {"^z": np.array([-9.0, -1.0], np.float32), "z$": np.array([-9.0, -1.0], np.float32), "z": np.array([-1.0, -9.0], np.float32)}}
+    s = language_id.Scorer(model)
+    assert s.predict("yes")[0] == "a" and s.predict("z")[0] == "b" and s.predict("12 ,")[0] == "und"
+
+
+def test_sharding(odd, empty, spark):
+    rows = odd.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    path = fresh_path(spark, "shards")
+    got = sharding.external_shuffle(rows, ["doc_id", "text"], "size", path, bucket_bytes=20_000).collect()
+    same([r.text for r in got], [r.text for r in odd.collect()])
+    by_shard: dict = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    counts = [len(by_shard.get(s, [])) for s in range(8)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+    assert sharding.external_shuffle(empty.withColumn("size", F.lit(1).cast("long")), ["doc_id", "text"], "size", fresh_path(spark, "none")).count() == 0
+
+
+def test_quality_classifier(spark, sf_dir, odd, empty):
+    big = sf_dir.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    fold = ~folds.held_out("doc_id")
+    weights = quality_classifier.train(docs, labels.where(fold), "doc_id", "text", "quality")
+    scored = quality_classifier.score(docs, weights).join(labels.where(~fold), "doc_id").collect()
+    good, bad = [r.score for r in scored if r.quality == 1], [r.score for r in scored if r.quality == 0]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
+    assert all(0 <= r.score <= 1 for r in quality_classifier.score(odd, weights).collect())
+    assert not quality_classifier.train(docs, labels.where("false"), "doc_id", "text", "quality").any()
+    assert quality_classifier.score(empty, weights).count() == 0
+
+
+def test_simhash(odd, empty, spark):
+    base = [f"w{i}" for i in range(3000)]
+    near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(0, 300, 10)]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, t) for i, t in enumerate(near)] + [(None, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def brute(text):
+        w = [x.decode() for x in (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()]
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [brute(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    groups: dict = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(d)
+    least = {k: min(x for x in v if x is not None) for k, v in groups.items()}
+    same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(d, f"{prints[i]:016x}", least[root(i)]) for i, (d, _) in enumerate(rows)])
+    assert simhash.near_duplicates(empty).count() == 0
+    firsts = simhash.first_of_groups(odd, "doc_id", "text")
+    assert firsts.columns == odd.columns and firsts.where("doc_id in (0, 1, 2)").count() == 1
+
+
+def test_random_links_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-(2**63), 2**63, 40)
+    values = set(map(int, centres))
+    for c in centres:
+        for _ in range(20):
+            x = int(c)
+            for bit in rng.integers(0, 64, rng.integers(0, 7)):
+                x ^= -(1 << 63) if bit == 63 else 1 << int(bit)
+            values.add(x)
+    values = sorted(values)
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    from corpusmill.llm.components import components
+
+    roots = {r.node: r.root for r in components(simhash.linked(frame)).collect()}
+    parent = {v: v for v in values}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {v: roots.get(v, v) for v in values} == {v: root(v) for v in values}
