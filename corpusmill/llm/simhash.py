@@ -89,12 +89,15 @@ def ball_points(fp: Column) -> Column:
 def _crowded(points: DataFrame) -> DataFrame:
     """fp and the least fp of its point, for points that hold two or more."""
     held = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    return points.join(held.select("point", "least"), "point").select("fp", "least")
+    # the same plan at every size: how many points are held grows with the corpus
+    return points.join(held.select("point", "least").hint("merge"), "point").select("fp", "least")
 
 
 def linked(distinct: DataFrame, segments: int = 32) -> DataFrame:
     """Links a > b that connect exactly the fingerprints connected by pairs within two bits. ``distinct``: fp, each once."""
-    near = _crowded(distinct.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("point"))).select("fp").distinct()
+    # a few bytes become many rows: without a number of partitions they would all be in a task or two
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    near = _crowded(spread.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("point"))).select("fp").distinct()
     exact = _crowded(near.select("fp", F.explode(ball_points(F.col("fp"))).alias("point")))
     return exact.where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
