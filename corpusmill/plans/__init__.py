@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from . import chunks, graph, metadata, quality, retrieval  # noqa: F401
+from . import chunks, context, graph, metadata, quality, retrieval  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

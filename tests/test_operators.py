@@ -86,3 +86,14 @@ def test_graph_and_metrics(spark):
     v = spark.createDataFrame([([1, 0, 1],), ([0, 0],), ([],)], "v array<int>").select(E.average_precision(F.col("v")), E.share_true(F.col("v"))).collect()
     assert [tuple(None if x is None else round(x, 4) for x in r) for r in v] == [(0.8333, 0.6667), (0.0, 0.0), (None, None)]
     assert E.resolved(["faithfulness", "x", "faithfulness", "answer_relevancy"], embeddings=False) == (["faithfulness"], ["x"])
+
+
+def test_context_functions(spark):
+    from corpusmill.operators import context as X
+
+    assert X.aligned_spans("a  b\nc d e", ["a b", "x", "c  d", ""]) == [(0, 4), None, (5, 8), None]
+    row = spark.createDataFrame([("abcdef", "xxabcd", "![i](p/q.png) ![j](http://h/z.png) ![k](n.gif)")], "a string, b string, m string")
+    got = row.select(X.shared_share(F.col("a"), F.col("b")).alias("s"), X.rewritten_images(F.col("m"), "/f/").alias("m")).first()
+    assert round(got.s, 4) == 0.3333 and got.m == "![i](/f/q.png) ![j](http://h/z.png) ![k](/f/n.gif)"
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "```", "b", "```", "c", "| x |", "| - |", "d", "| y |"])], "doc_id int, n int, piece string")
+    assert [r.protected for r in X.fenced_lines(lines, "doc_id").orderBy("n").collect()] == [False, True, True, True, False, True, True, False, False]
