@@ -18,13 +18,14 @@ def terms_sql(column: str) -> str:
 
 
 BM25_SQL = f"""
-tokens AS (SELECT doc_id, len({terms_sql('text')}) AS len, unnest({terms_sql('text')}) AS term FROM documents),
-tf AS (SELECT term, doc_id, count(*) AS tf, first(len) AS len FROM tokens GROUP BY term, doc_id),
+tokens AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id),
+lens AS (SELECT doc_id, count(*) AS len FROM tokens GROUP BY doc_id),
 asked AS (SELECT DISTINCT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark WHERE item_id % 50 = 0),
 corpus AS (SELECT count(*) AS n, avg(len({terms_sql('text')})) AS avgdl FROM documents),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
-  FROM asked JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY query_id, doc_id),
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), corpus GROUP BY query_id, doc_id),
 keyword AS (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20)
 """
 
