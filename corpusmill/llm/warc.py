@@ -42,7 +42,7 @@ def _bytes(c: Column | str) -> Column:
     return F.octet_length(c).cast("long")
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str, url_col: str, body_col: str, version: int = 1, date: str = "20240101000000", level: str = "BEST_SPEED") -> None:
+def write_arc(pages: DataFrame, path: str, id_col: str, url_col: str, body_col: str, version: int = 1, date: str = "20240101000000", level: str = "DEFAULT_COMPRESSION") -> None:
     """One record per page, an HTTP response with the body in UTF-8; null bodies are empty, null addresses ``unknown:``.
 
     The page's id goes into the response's head as ``X-Source-Id`` (nothing for null). White space in
@@ -159,7 +159,7 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
     return files.mapInArrow(parse, ", ".join(f"{n} {k}" for n, k in names))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, level: str = "BEST_SPEED") -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, level: str = "DEFAULT_COMPRESSION") -> None:
     """ARC files to WARC files. Payloads of fewer than ``least_bytes`` bytes are never revisits.
 
     The first pass over the archives gives ids and digests only; its pre-aggregated minimum per
