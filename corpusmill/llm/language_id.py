@@ -90,18 +90,20 @@ class Scorer:
     def __init__(self, model: dict, most: int = 300_000):
         self.model, self.most = model, most
         self.rows: dict[str, int] = {}
+        self.gram = {g: i for i, g in enumerate(model["grams"])}
+        self.grams = np.array(list(model["grams"].values()), np.float32).reshape(len(self.gram), len(model["langs"]))
         self.table = np.zeros((1024, len(model["langs"]) + 1), np.float32)  # the scores, and the number of words
 
     def word(self, w: str) -> np.ndarray:
         if (known := self.model["words"].get(w)) is not None:
             return known
-        total, marked, n = np.zeros(len(self.model["langs"]), np.float32), f"^{w}$", 0
+        marked, found = f"^{w}$", []
         for i in range(len(marked)):
             for size in range(min(self.model["max_gram"], len(marked) - i), 0, -1):
-                if (gram := self.model["grams"].get(marked[i : i + size])) is not None:
-                    total, n = total + gram, n + 1
+                if (gram := self.gram.get(marked[i : i + size])) is not None:
+                    found.append(gram)
                     break
-        return total / n if n else total
+        return self.grams[found].mean(0) if found else np.zeros(len(self.model["langs"]), np.float32)
 
     def row(self, chunk: str) -> int:
         if (r := self.rows.get(chunk)) is None:
@@ -109,7 +111,9 @@ class Scorer:
             if r >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             words = _words(chunk)
-            self.table[r, :-1] = sum(map(self.word, words), np.zeros(len(self.model["langs"]), np.float32))
+            self.table[r] = 0
+            for w in words:
+                self.table[r, :-1] += self.word(w)
             self.table[r, -1] = len(words)
         return r
 
