@@ -95,8 +95,9 @@ def _crowded(points: DataFrame) -> DataFrame:
 
 def linked(distinct: DataFrame, segments: int = 32) -> DataFrame:
     """Links a > b that connect exactly the fingerprints connected by pairs within two bits. ``distinct``: fp, each once."""
-    # a few bytes become many rows: without a number of partitions they would all be in a task or two
-    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # a few bytes become many rows: as few as they are they would all be in a task or two, so they are dealt
+    # out anew, by a hash, since an exchange by fp itself would count as done
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     near = _crowded(spread.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("point"))).select("fp").distinct()
     exact = _crowded(near.select("fp", F.explode(ball_points(F.col("fp"))).alias("point")))
     return exact.where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
