@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards of equal row counts.
 
-First pass: a seeded hash of each record scatters the records uniformly over buckets, as many as
+First pass: a seeded hash of each record and its place scatters the records uniformly over buckets, as many as
 keep a bucket within ``bucket_bytes``, so each fits into a worker's memory whatever the corpus.
 Second pass: each bucket is put into a fixed order and then shuffled as Spark's seeded ``shuffle``
 does it, a Fisher-Yates walk, and its records are written in that order. The buckets one after the
@@ -18,16 +18,16 @@ def external_shuffle(rows: DataFrame, key_cols: list[str], size_col: str, path:
     """Writes the shards to ``path`` (Parquet folders ``shard=0`` and so on) and returns them as read back.
 
     All columns of ``rows``, and shard (int) and slot (long, gapless from 0 in each shard). ``key_cols``
-    are what is hashed: with an id and a text, neither null ids nor equal texts meet in one bucket.
-    Rows that repeat in all key columns share a bucket. Any two rows may be equal, and nulls are
-    ordinary values; an empty table gives an empty result.
+    are hashed together with the row's place in ``rows``, so rows that repeat in all key columns scatter
+    as well. ``rows`` is read again for the counts and must give the same rows in the same order: a scan
+    of files. Any two rows may be equal, and nulls are ordinary values; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum(size_col), F.lit(0)).cast("long")).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
     record = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
     # a hash of a hash: the bits that pick the bucket are not those that partition the exchange
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64(*(F.col(f"`{c}`") for c in key_cols))), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64(*(F.col(f"`{c}`") for c in key_cols), F.monotonically_increasing_id())), F.lit(buckets))
     scattered = rows.select(record.alias("_r"), bucket.alias("_b"))
     # a row per bucket: a few bytes for each 16 MB
     counts = scattered.groupBy("_b").agg(F.count("*").alias("_n"))
