@@ -76,9 +76,11 @@ def merged_ranges(spark, sf_dir):
 
 @query("SELECT doc_id, round(len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text), 4) AS density, CASE WHEN len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text) >= 20 THEN 'high' WHEN len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text) >= 5 THEN 'mid' ELSE 'low' END AS band FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def reference_density(spark, sf_dir):
-    """Reference words per 1000 characters, of texts in plain ASCII (word borders are defined alike there)."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 0 AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
-    density = F.regexp_count(F.lower("text"), F.lit(r"\b(the|that|der|les|que)\b")) * 1000.0 / F.length("text")
+    """Reference words per 1000 characters, of every text; a null or empty one has none. Letters, marks and digits of any script are inside words."""
+    d = table(spark, sf_dir, "documents")
+    inside = r"[\p{L}\p{M}\p{N}_]"
+    count = F.regexp_count(F.lower("text"), F.lit(f"(?<!{inside})(the|that|der|les|que)(?!{inside})"))
+    density = F.when(F.length("text") > 0, count * 1000.0 / F.length("text")).otherwise(0.0)
     return d.select("doc_id", F.round(density, 4).alias("density"), F.when(density >= 20, "high").when(density >= 5, "mid").otherwise("low").alias("band"))
 
 
