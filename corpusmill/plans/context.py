@@ -98,8 +98,8 @@ def overlap_segments(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg('**' || role || '** ' || substring(text, 1, 500), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def session_export(spark, sf_dir):
-    """Conversations as Markdown; a conversation's own length bounds its row."""
-    line = F.concat(F.lit("**"), "role", F.lit("** "), F.substring("text", 1, 500))
+    """Conversations as Markdown, messages whole; a conversation's own length bounds its row."""
+    line = F.concat(F.lit("**"), "role", F.lit("** "), "text")
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))).alias("l"))
     return c.select("conv_id", F.array_join(F.col("l.t"), "\n\n").alias("markdown"))
 
