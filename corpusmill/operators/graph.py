@@ -14,13 +14,31 @@ from ..functions.text import normalized_name
 def merged_entities(found: DataFrame, most_chars: int = 200) -> DataFrame:
     """Entities by name and type: id (e1, e2, ... in order of first sight), count of distinct (doc, chunk), first_seen, description.
 
-    ``found``: name, type, description, doc_id, chunk_index, seq. The description is that of the first
-    mentions joined, cut at ``most_chars``; only the least of them are kept while aggregating.
+    ``found``: name, type, description, doc_id, chunk_index, seq. The description is that of the
+    mentions folded in order of ``seq``, cut at ``most_chars``.
     """
     named = found.withColumn("name", normalized_name(F.col("name"))).where("name <> ''")
-    once = named.groupBy("name", "type", "doc_id", "chunk_index").agg(F.min("seq").alias("seq"), F.min_by("description", "seq").alias("description"))
-    merged = once.groupBy("name", "type").agg(F.count("*").alias("count"), F.min("seq").alias("first_seen"), F.substring(F.min_by("description", "seq"), 1, most_chars).alias("description"))
-    return numbered(merged, "e")
+    once = named.groupBy("name", "type", "doc_id", "chunk_index").agg(F.min("seq").alias("seq"))
+    merged = once.groupBy("name", "type").agg(F.count("*").alias("count"), F.min("seq").alias("first_seen"))
+    return numbered(_described(merged, named, ["name", "type"], most_chars), "e")
+
+
+def _described(merged: DataFrame, found: DataFrame, keys: list[str], most_chars: int) -> DataFrame:
+    """``merged`` with the descriptions of ``found`` by key: each that the text so far does not contain is added after a separator.
+
+    Only the first descriptions of a key can count: those added lengthen the text by two signs at
+    least, and those contained in it are substrings of ``most_chars`` signs.
+    """
+    most = most_chars + most_chars * (most_chars + 1) // 2
+    # a description longer than the cut is in no text, and what follows its next sign is never seen
+    cut = found.withColumn("description", F.substring("description", 1, most_chars + 1)).where("description <> ''")
+    each = cut.groupBy(*keys, "description").agg(F.min("seq").alias("seq"))
+    each = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "description"))).where(F.col("_r") <= most)
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "description"))).alias("_all"))
+    joined = lambda old, x: F.when(old == "", x["description"]).when(F.contains(old, x["description"]), old).otherwise(F.concat(old, F.lit("；"), x["description"]))
+    folded = listed.select(*(F.col(k).alias(f"_{k}") for k in keys), F.aggregate("_all", F.lit(""), lambda old, x: F.substring(joined(old, x), 1, most_chars)).alias("description"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return merged.join(folded, same, "left").drop(*(f"_{k}" for k in keys)).withColumn("description", F.coalesce("description", F.lit("")))
 
 
 def numbered(rows: DataFrame, prefix: str, ranges: int = 64) -> DataFrame:
@@ -38,11 +56,16 @@ def numbered(rows: DataFrame, prefix: str, ranges: int = 64) -> DataFrame:
     return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn("id", F.concat(F.lit(prefix), (F.col("_rank") + F.col("_before")).cast("string"))).drop("_range", "_rank", "_before")
 
 
-def merged_relations(found: DataFrame) -> DataFrame:
-    """Relations by source, target and type: weight = number of distinct (doc, chunk). Loops are left out."""
+def merged_relations(found: DataFrame, most_chars: int = 200) -> DataFrame:
+    """Relations by source, target and type: weight = number of distinct (doc, chunk). Loops are left out.
+
+    Where ``found`` has description and seq, description is folded as that of entities.
+    """
     named = found.withColumns({"source": normalized_name(F.col("source")), "target": normalized_name(F.col("target"))})
-    named = named.where("source <> target AND source <> '' AND target <> ''").select("source", "target", "type", "doc_id", "chunk_index").distinct()
-    return named.groupBy("source", "target", "type").agg(F.count("*").cast("double").alias("weight"))
+    named = named.where("source <> target AND source <> '' AND target <> ''")
+    once = named.select("source", "target", "type", "doc_id", "chunk_index").distinct()
+    merged = once.groupBy("source", "target", "type").agg(F.count("*").cast("double").alias("weight"))
+    return _described(merged, named, ["source", "target", "type"], most_chars) if {"description", "seq"} <= set(found.columns) else merged
 
 
 def matched(entities: DataFrame, names: DataFrame) -> DataFrame:
