@@ -1,4 +1,4 @@
-"""Folds and bounded samples by hashes of the id: the same rows on every run and cluster."""
+"""Folds and bounded samples by hashes of the id: the same rows on every run and cluster; names that do not clash."""
 
 from __future__ import annotations
 
@@ -18,3 +18,11 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
         return rows
     cut = most * (1 << 32) // n
     return rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 32)) < cut)
+
+
+def clear_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores at its end until no column of ``taken`` is called so, whatever the case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name

@@ -10,6 +10,7 @@ bounded sample of labelled rows (``sample_rows``).
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .folds import bounded_sample
+from .folds import bounded_sample, clear_name
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -28,8 +29,14 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 50_000, words: int = 20_000, grams: int = 20_000, max_gram: int = 4) -> dict:
-    """The model: languages, word table and n-gram table of log frequencies, of bounded size."""
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 50_000, words: int = 20_000, grams: int = 20_000, max_gram: int = 4, least_count: int = 2) -> dict:
+    """The model: languages, word table and n-gram table of log frequencies, of bounded size.
+
+    Words seen fewer than ``least_count`` times are not in the word table; their n-grams count, as do
+    those of every word over its whole length. Rows without a text or language are left out; repeated
+    rows and ids count each; equally frequent words and n-grams are taken in their order; without rows
+    the model knows no language.
+    """
     rows = bounded_sample(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", sample_rows)
 
     def count(batches):
@@ -53,20 +60,20 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
         n = Counter()
         for batch in batches:
             for lang, w, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                w = f"^{w[:64]}$"
+                w = f"^{w}$"
                 for size in range(1, max_gram + 1):
                     for i in range(len(w) - size + 1):
                         n[lang, w[i : i + size]] += k
-            if len(n) > 500_000:
-                yield out(n)
-                n = Counter()
+                if len(n) > 500_000:
+                    yield out(n)
+                    n = Counter()
         yield out(n)
 
     gram_counts = written(counted.mapInArrow(ngrams, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "grams")
 
     totals = {r["lang"]: r["all"] for r in counted.groupBy("lang").agg(F.sum("n").alias("all")).collect()}
     langs = sorted(totals)
-    ranked = counted.where("n > 1").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w")))
+    ranked = counted.where(F.col("n") >= least_count).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w")))
     model: dict = {"langs": langs, "max_gram": max_gram}
     at = {k: i for i, k in enumerate(langs)}
     floor = [np.log(0.5 / (totals[k] + 1)) for k in langs]
@@ -84,15 +91,15 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     return model
 
 
-class Scorer:
-    """Log scores of chunks without white space, kept per worker up to ``most`` chunks."""
+class Scorer(dict):
+    """Chunk without white space -> row of its log scores in ``table``; rows of ``most`` chunks are kept per worker."""
 
     def __init__(self, model: dict, most: int = 300_000):
-        self.model, self.most = model, most
-        self.rows: dict[str, int] = {}
+        super().__init__()
+        self.model, self.most, self.used = model, most, 0
         self.gram = {g: i for i, g in enumerate(model["grams"])}
         self.grams = np.array(list(model["grams"].values()), np.float32).reshape(len(self.gram), len(model["langs"]))
-        self.table = np.zeros((1024, len(model["langs"]) + 1), np.float32)  # the scores, and the number of words
+        self.table = np.zeros((1024, len(model["langs"]) + 1))  # the scores, and the number of words
 
     def word(self, w: str) -> np.ndarray:
         if (known := self.model["words"].get(w)) is not None:
@@ -105,36 +112,34 @@ class Scorer:
                     break
         return self.grams[found].mean(0) if found else np.zeros(len(self.model["langs"]), np.float32)
 
-    def row(self, chunk: str) -> int:
-        if (r := self.rows.get(chunk)) is None:
-            r = self.rows[chunk] = len(self.rows)
-            if r >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            words = _words(chunk)
-            self.table[r] = 0
-            for w in words:
-                self.table[r, :-1] += self.word(w)
-            self.table[r, -1] = len(words)
+    def __missing__(self, chunk: str) -> int:
+        r, self.used = self.used, self.used + 1
+        if r >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        words = _words(chunk)
+        self.table[r] = 0
+        for w in words:
+            self.table[r, :-1] += self.word(w)
+        self.table[r, -1] = len(words)
+        if len(chunk) <= 64:  # longer ones hardly come again
+            self[chunk] = r
         return r
 
     def predict(self, text: str | None) -> tuple[str, float]:
         langs = self.model["langs"]
         if not langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        if len(self.rows) >= self.most:
-            self.rows.clear()
-        chunks = text.split()
-        found = self.table_sum(chunks)
+        if self.used >= self.most:
+            self.clear()
+            self.used, self.table = 0, self.table[: self.most]
+        rows = list(map(self.__getitem__, text.split()))
+        found = np.bincount(rows, minlength=self.used) @ self.table[: self.used] if 4 * len(rows) > self.used else self.table[rows].sum(0)
         n = max(found[-1], 1)
         mean = found[:-1] / n
         odds = np.exp((mean - mean.max()) * min(n, 10.0))
         best = int(np.argmax(odds))
         return langs[best], float(odds[best] / odds.sum())
 
-    def table_sum(self, chunks: list[str]) -> np.ndarray:
-        rows = list(map(self.row, chunks))
-        return self.table[rows].astype(np.float64).sum(0)
-
 
 _SCORERS: dict = {}
 
@@ -142,12 +147,14 @@ _SCORERS: dict = {}
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id, lang_pred, score of every whole text; with ``keep``, those columns of ``docs``, _lang_pred and _score.
 
+    The two added columns come last; where ``docs`` has their names, theirs end in further underscores.
     Null texts and texts without a letter are ``und`` with score 0, as is everything if the model has
     no language; equal scores go to the first language by name; repeated rows and null ids stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
-    key = (docs.sparkSession.sparkContext.applicationId, id(shared), len(model["words"]))
+    key = uuid.uuid4().hex  # a worker lives on between models
     names = keep or [id_col]
+    lang, score = (clear_name(c, names) for c in (("_lang_pred", "_score") if keep else ("lang_pred", "score")))
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
@@ -162,5 +169,4 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     found = rows.mapInArrow(each, f"{kinds}, lang_pred string, score double")
-    mark = "_" if keep else ""
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("lang_pred").alias(f"{mark}lang_pred"), F.col("score").alias(f"{mark}score"))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("lang_pred").alias(lang), F.col("score").alias(score))
