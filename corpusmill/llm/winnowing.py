@@ -1,51 +1,63 @@
 """Document fingerprints by winnowing.
 
-A text is cut into tokens (runs without white space, in steps of 24 characters at most), every
-``k`` neighbouring tokens give a rolling hash, and of every ``window`` neighbouring hashes the least
-is chosen, the rightmost one of equals. The chosen hashes with their positions are the fingerprint.
-A passage of ``k + window - 1`` or more tokens that two texts share gives both a common hash, and
-nothing shorter than ``k`` tokens counts as shared. Everything is DataFrame functions; the minimum of a
-window is found by doubling, so its cost grows with the logarithm of the window.
+Every ``k`` neighbouring code points of a text give a hash, and of every ``window`` neighbouring hashes
+the least is chosen, the rightmost one of equals. The chosen hashes with their positions are the
+fingerprint. A passage of ``k + window - 1`` or more code points that two texts share, wherever it
+stands and in whatever script, gives both a common hash, and nothing shorter than ``k`` counts as shared.
+
+Everything is DataFrame functions. They have no running state, so the hashes roll by doubling: those of
+2, 4, 8 ... code points are each made of two of the step before, and so are the least of 2, 4, 8 ...
+hashes; the cost of a position grows with the logarithms of ``k`` and ``window``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Code points of a hashed gram, and neighbouring hashes of which one is chosen.
+GRAM, WINDOW = 24, 32
+#: The position is counted down from here, so that the least of equal hashes is the rightmost.
+_TOP = (1 << 31) - 1
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row, also where ``use`` has it inside a lambda."""
     return F.transform(F.array(value), use)[0]
 
 
-def winnow(text: Column, k: int = 4, window: int = 8) -> Column:
-    """Array of longs in order of position: the hash in the upper 32 bits, the position (in tokens) in the lower 31.
+def _over(values: Column, width: int, both: Callable[[Column, Column], Column]) -> Column:
+    """``both`` folded over each ``width`` neighbours, which may overlap; fewer at the end of the array."""
+
+    def further(step: int) -> Callable[[Column], Column]:
+        return lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))), both)
+
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values, reach = let(values, further(step)), reach + step
+    return values
+
 
-    Null, empty and blank texts give an empty array; a text of fewer than ``k`` tokens is hashed as a
-    whole, one of fewer than ``window`` hashes has one window.
+def winnow(text: Column, k: int = GRAM, window: int = WINDOW, first: Column | None = None) -> Column:
+    """Array of longs in order of position: the hash in the upper 32 bits, the position (in code points) in the lower 31.
+
+    Null and empty texts give an empty array; a text of fewer than ``k`` code points is hashed as a
+    whole, one of fewer than ``window`` hashes has one window. ``first`` is the position of the first code point, 0 if not given.
     """
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,24}"), F.lit(0))
-
-    def grams(h: Column) -> Column:
-        n = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
-        gram = lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k)))
-        # 32 bits of the hash, then the position counted down: the least is then the rightmost of equal hashes
-        placed = lambda x, i: F.shiftleft(F.shiftright(gram(x, i), 32), 31).bitwiseOR(F.lit((1 << 31) - 1).cast("long") - i)
-        return F.transform(F.slice(h, 1, n), placed)
-
-    def least(a: Column, step: int) -> Column:
-        # windows are cut short at the end; null is the least of nothing
-        return let(a, lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))), lambda p, q: F.least(p, q)))
-
-    chosen, width = let(F.transform(tokens, lambda t: F.xxhash64(t)), grams), 1
-    while width < window:
-        step = min(width, window - width)
-        chosen, width = least(chosen, step), width + step
+    text = F.coalesce(text, F.lit(""))
+    n, top = F.length(text), F.lit(_TOP).cast("long") - (F.lit(0) if first is None else first)
+    # a hash of nulls is what was hashed before them, so grams that reach beyond the end are those of the rest
+    grams = _over(F.split(text, ""), k, lambda p, q: F.xxhash64(p, q))
+    kept = F.greatest(n - (k - 1), F.least(n, F.lit(1)))
+    at = lambda t: let(grams, lambda h: F.transform(F.slice(h, 1, kept), lambda x, i: F.shiftleft(F.shiftright(x, 32), 31).bitwiseOR(t - i)))
+    placed = let(top, at)  # what a lambda does for each position must not count the text's code points
     full = lambda x: F.slice(x, 1, F.greatest(F.size(x) - (window - 1), F.least(F.size(x), F.lit(1))))
-    return F.array_distinct(let(chosen, full))
+    return F.array_distinct(let(_over(placed, window, lambda p, q: F.least(p, q)), full))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -53,15 +65,32 @@ def hashes(fingerprint: Column) -> Column:
     return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 31)))
 
 
+def _position(x: Column) -> Column:
+    return F.lit(_TOP).cast("long") - x.bitwiseAND(F.lit(_TOP).cast("long"))
+
+
 def positions(fingerprint: Column) -> Column:
-    """The positions of a fingerprint's hashes, in tokens from 0."""
-    return F.transform(fingerprint, lambda x: F.lit((1 << 31) - 1).cast("long") - x.bitwiseAND(F.lit((1 << 31) - 1).cast("long")))
+    """The positions of a fingerprint's hashes, in code points from 0."""
+    return F.transform(fingerprint, _position)
+
+
+def before(fingerprint: Column, start: Column, window: int = WINDOW) -> Column:
+    """The part of a fingerprint that the windows which begin before position ``start`` have chosen.
+
+    A hash is chosen first where it enters a window as the least, else where the one before it leaves.
+    """
+
+    def begins(f: Column, x: Column, i: Column) -> Column:
+        last = F.get(f, i - 1)
+        return F.when(i == 0, F.lit(0).cast("long")).when(F.shiftright(x, 31) <= F.shiftright(last, 31), _position(x) - (window - 1)).otherwise(_position(last) + 1)
+
+    return let(fingerprint, lambda f: let(start, lambda s: F.filter(f, lambda x, i: begins(f, x, i) < s)))
 
 
 def as_text(fingerprint: Column) -> Column:
     """Hashes and positions as text: hash in hex, ``@``, position, joined by blanks."""
-    top = F.lit((1 << 31) - 1).cast("long")
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.hex(F.shiftright(x, 31).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), F.lit("@"), (top - x.bitwiseAND(top)).cast("string"))), " ")
+    word = lambda x: F.concat(F.hex(F.shiftright(x, 31).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), F.lit("@"), _position(x).cast("string"))
+    return F.array_join(F.transform(fingerprint, word), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -69,52 +98,74 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
-def with_next(rows: DataFrame, id_col: str, value: Column, out: str, range_rows: int = 2_000, most_ranges: int = 20_000) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, value: Column, out: str, derived: dict[str, Callable[[Column], Column]] | None = None, range_rows: int = 500, most_ranges: int = 20_000) -> DataFrame:
     """Adds ``out``: ``value`` of the row with the next integer id; of the first row after the last.
 
+    For each name in ``derived``, a function of ``value``, adds it for the row and, as ``next_`` and the
+    name, for the row after it: computed once a row, after the shuffle.
+
     Ids are cut into ranges of about ``range_rows`` rows at approximate percentiles (``most_ranges``
     numbers at most), and each range is a window group that also gets a copy of the first row of the
     next range. So the rows are shuffled once and no task holds more than a few ranges. A null id
-    counts as the smallest number; equal ids stand in the order of a hash of their values; a single
-    row is its own next.
+    counts as the smallest number; equal ids stand in the order of a hash of their place in ``rows``, so
+    an id, or null, that many rows have is cut into ranges too; a single row is its own next. ``rows`` is
+    read several times and must give the same rows in the same order: a scan of files.
     """
-    spark = rows.sparkSession
+    spark, derived = rows.sparkSession, derived or {}
     least = -(1 << 63)
-    keyed = rows.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_key"), value.alias("_value"))
+    keyed = rows.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_key"), value.alias("_value"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"))
     n, low = keyed.agg(F.count("*"), F.min("_key")).first()
-    if not n:
-        return keyed.select(*rows.columns, F.col("_value").alias(out))
     ranges = max(1, min(most_ranges, -(-n // range_rows)))
     cuts = [i / ranges for i in range(1, ranges)]
     found = keyed.agg(F.percentile_approx("_key", F.lit(cuts), max(10_000, 10 * ranges))).first()[0] if cuts else []
-    firsts = sorted({low, *found})  # the first key of each range
+    times = Counter([low or 0, *found])
+    firsts = sorted(times)  # the first key of each run of ranges; a key that spans several has as many of its own
+    ends = [0, *accumulate(times[k] for k in firsts)]
     table = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")  # folded to a constant
+    begins = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<int>")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(firsts).bit_length()))))
     # a binary search: how many of the first keys are at most the key
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col("_key"), at + step).otherwise(at)) - 1
-    order = [F.col("_key"), F.xxhash64("_value")]
-    dealt = keyed.select("*", place.alias("_range"), F.lit(False).alias("_copy"))
+    share = F.shiftrightunsigned("_salt", 11) / F.lit(float(1 << 53))
+    own = F.when(F.col("_key") == F.get(table, F.col("_place")), F.floor(share * (F.get(begins, F.col("_place") + 1) - F.get(begins, F.col("_place"))))).otherwise(F.get(begins, F.col("_place") + 1) - F.get(begins, F.col("_place")) - 1)
+    salt = F.shiftrightunsigned("_salt", 11)  # in the order of the ranges that a key is cut into
+    dealt = keyed.withColumn("_place", place).withColumns({"_range": F.get(begins, F.col("_place")) + own.cast("int"), "_copy": F.lit(False), "_salt": salt}).drop("_place")
+    held = sorted(r[0] for r in dealt.select("_range").distinct().collect())  # most_ranges numbers at most
+    order = [F.col("_key"), F.col("_salt"), F.xxhash64("_value")]
+    # the rows that may be a range's first: those with a first key
     heads = spark.range(1).select(F.explode(table).alias("_head"))
     copies = dealt.join(F.broadcast(heads), F.col("_key") == F.col("_head")).drop("_head")
-    copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_nth = 1").drop("_nth")
-    copies = copies.withColumns({"_range": F.when(F.col("_range") == 0, F.lit(len(firsts))).otherwise(F.col("_range")) - 1, "_copy": F.lit(True)})
+    copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).where("_nth = 1").drop("_nth")
+    known = F.split(F.lit(",".join(map(str, held))), ",").cast("array<int>")
+    # a range that holds nothing is passed over
+    copies = copies.withColumns({"_range": F.get(known, F.pmod(F.array_position(known, F.col("_range")).cast("int") - 2, F.lit(max(len(held), 1)))), "_copy": F.lit(True)})
     group = Window.partitionBy("_range").orderBy("_copy", *order)
-    return dealt.unionByName(copies).withColumn(out, F.lead("_value").over(group)).where(~F.col("_copy")).select(*rows.columns, out)
+    led = dealt.unionByName(copies).withColumn(out, F.lead("_value").over(group))
+    led = led.withColumns({name: f(F.col("_value")) for name, f in derived.items()}) if derived else led
+    led = led.withColumns({f"next_{name}": F.lead(name).over(group) for name in derived}) if derived else led
+    return led.where(~F.col("_copy")).select(*rows.columns, out, *derived, *(f"next_{name}" for name in derived))
 
 
-def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 8) -> DataFrame:
+def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and how alike they and the next text's are.
 
     Edited text: the last quarter of the code points replaced by as many from the start of the next
     text. Returns id, n_chars, edited_text, fingerprint, edited_fingerprint (arrays), near_edited,
     near_next. Null texts count as empty; equal texts have equal fingerprints; a short text whose
-    edit is empty is its own edited text; see ``with_next`` for ids.
+    edit is empty is its own edited text; see ``with_next`` for ids. Of the edited text only the part
+    that the kept one does not settle is hashed. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    led = with_next(rows, id_col, F.col("_text"), "_next")
+    # the next text's hashes come over with its text, so each text is hashed once
+    led = with_next(rows, id_col, F.col("_text"), "_next", {"_hashed": lambda text: winnow(text, k, window)})
     n = F.length("_text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.col("_next"), F.lit(1), cut))
-    prints = led.select(F.col(id_col), n.cast("long").alias("n_chars"), edited.alias("edited_text"), winnow(F.col("_text"), k, window).alias("fingerprint"), winnow(edited, k, window).alias("edited_fingerprint"), winnow(F.col("_next"), k, window).alias("_next_print"))
+    led = led.withColumn("edited_text", F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.col("_next"), F.lit(1), cut)))
+    # windows that begin before this position lie in the kept part, with at least one window after it
+    start = F.greatest(F.lit(0), n - cut - (k + window - 1))
+    rest = winnow(F.substring(F.col("edited_text"), start + 1, F.length("edited_text")), k, window, start)
+    prints = led.withColumn("edited_fingerprint", F.array_distinct(F.concat(before(F.col("_hashed"), start, window), rest)))
     near = lambda a, b: let(hashes(F.col(a)), lambda x: let(hashes(F.col(b)), lambda y: likeness(x, y)))
-    return prints.withColumns({"near_edited": near("fingerprint", "edited_fingerprint"), "near_next": near("fingerprint", "_next_print")}).drop("_next_print")
+    return prints.select(
+        F.col(id_col), n.cast("long").alias("n_chars"), "edited_text", F.col("_hashed").alias("fingerprint"), "edited_fingerprint", near("_hashed", "edited_fingerprint").alias("near_edited"), near("_hashed", "next__hashed").alias("near_next")
+    )
