@@ -70,10 +70,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-    shards = sharding.external_shuffle(docs, ["doc_id", "text"], "size", fresh_path(spark, "shards"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return shards.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    text = F.col("text")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    # the row's number in its file is the same on every cluster
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", size.alias("size"), F.xxhash64(place).alias("place"))
+    shards = sharding.external_shuffle(docs, ["doc_id", "text", "place"], "size", fresh_path(spark, "shards"), place=F.lit(0))
+    return shards.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
