@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
         if state[0] == 0 or state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
-        links = written(_small_star(_large_star(links)), "links")
+        seen, last = state, links
+        links = written(_small_star(_large_star(last)), "links")
+        discard(last)

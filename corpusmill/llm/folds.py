@@ -26,3 +26,10 @@ def clear_name(name: str, taken: list[str]) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def clear_prefix(prefix: str, taken: list[str]) -> str:
+    """``prefix``, with underscores before it until no column of ``taken`` begins so, whatever the case."""
+    while any(c.lower().startswith(prefix.lower()) for c in taken):
+        prefix = f"_{prefix}"
+    return prefix

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import clear_name
+
 #: White space of the base rules; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -41,15 +43,14 @@ def buckets_of(text: Column, bits: int) -> Column:
     return let(token_hashes(text), lambda h: F.concat(F.transform(h, lambda x: x.bitwiseAND(mask)), pair(h)))
 
 
-def llr_model(docs: DataFrame, trusted: Column, text_col: str = "text", bits: int = 16) -> DataFrame:
-    """One row: ratios, an array of 2 ** bits log ratios with add-one smoothing. ``trusted`` is a condition on ``docs``.
+def llr_model(docs: DataFrame, trusted: DataFrame, text_col: str = "text", bits: int = 16) -> DataFrame:
+    """One row: ratios, an array of 2 ** bits log ratios with add-one smoothing, of the texts of ``trusted`` to those of ``docs``.
 
     Without trusted text all ratios are 0. From the sums on, no table has more than 2 ** bits rows.
     """
     size = 1 << bits
-    rows = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("trusted"), F.explode(buckets_of(F.col(text_col), bits)).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("r"))
-    every = docs.sparkSession.range(size).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
+    counts = lambda rows, n: rows.select(F.explode(buckets_of(F.col(text_col), bits)).alias("id")).groupBy("id").agg(F.count("*").alias(n))
+    every = docs.sparkSession.range(size).join(counts(docs, "r"), "id", "left").join(counts(trusted, "t"), "id", "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     one = every.agg(F.sort_array(F.collect_list(F.struct("id", "t", "r"))).alias("all"), F.sum("t").alias("nt"), F.sum("r").alias("nr"))
     ratio = lambda x: F.log((x["t"] + 1.0) / (F.col("nt") + size)) - F.log((x["r"] + 1.0) / (F.col("nr") + size))
     return one.select(F.transform("all", lambda x: F.when(F.col("nt") > 0, ratio(x)).otherwise(F.lit(0.0))).alias("ratios"))
@@ -78,7 +79,10 @@ def _repeat_words(words: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; a null text counts as empty."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; a null text counts as empty.
+
+    Columns of these names that ``docs`` has are replaced: ``prefix`` keeps the added ones apart.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = lambda c: F.translate(c, " \t\n\x0b\x0c\r", "")
     lines = F.filter(F.split(text, "\n"), lambda line: bare(line) != "")
@@ -86,29 +90,34 @@ def base_rules(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
         words_of(F.col(text_col)),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words")),
     )
-    out = docs.withColumn(f"{prefix}counts", counts).withColumns(
+    both = clear_name("_counts", docs.columns)
+    out = docs.withColumn(both, counts).withColumns(
         {
-            f"{prefix}n_words": F.col(f"{prefix}counts.n_words"),
+            f"{prefix}n_words": F.col(f"{both}.n_words"),
             f"{prefix}word_chars": F.length(bare(text)).cast("long"),
             f"{prefix}n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
             f"{prefix}n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            f"{prefix}n_repeat_words": F.col(f"{prefix}counts.n_repeat_words"),
+            f"{prefix}n_repeat_words": F.col(f"{both}.n_repeat_words"),
         }
     )
     n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return out.drop(f"{prefix}counts").withColumn(f"{prefix}base_failed", (n < 50) | (100 * repeated > 50 * n))
+    return out.drop(both).withColumn(f"{prefix}base_failed", (n < 50) | (100 * repeated > 50 * n))
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, threshold: float = -0.4, prefix: str = "") -> DataFrame:
     """Keeps all rows and columns of ``docs`` and adds the base counts, llr and kept.
 
-    ``trusted_ids``: one column ``trusted_id``, a bounded table of ids of trusted documents; nulls
-    and repeats in it do no harm. A null, empty or blank text has counts of 0 and fails the base
-    rules; repeated rows count each; without trusted rows every llr is 0; an empty table gives an
-    empty result. ``prefix`` keeps the added columns apart from those that ``docs`` has.
+    ``trusted_ids``: one column ``trusted_id``, the ids of trusted documents, as many as there are; nulls
+    and repeats in it do no harm. A document that fails the base rules is not kept and has no llr (null).
+    A null, empty or blank text has counts of 0 and fails the base rules; repeated rows count each;
+    without trusted rows every llr is 0; an empty table gives an empty result. ``prefix`` keeps the added
+    columns apart from those that ``docs`` has, which they otherwise replace.
     """
-    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(trusted_ids.distinct()), F.col("_id") == F.col("trusted_id"), "left")
-    model = llr_model(named, F.col("trusted_id").isNotNull(), "_text", bits).first()["ratios"]  # 2 ** bits numbers
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # Spark broadcasts the ids below its own bound of size and shuffles both sides beyond it
+    trusted = named.join(trusted_ids.select(F.col("trusted_id").alias("_id")), "_id", "left_semi")
+    model = llr_model(named, trusted, "_text", bits).first()["ratios"]  # 2 ** bits numbers
     ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to a constant
-    out = base_rules(docs, text_col, prefix).withColumn(f"{prefix}llr", llr_score(F.col(text_col), ratios, bits))
+    out = base_rules(docs, text_col, prefix)
+    out = out.withColumn(f"{prefix}llr", F.when(~F.col(f"{prefix}base_failed"), llr_score(F.col(text_col), ratios, bits)))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}llr") >= threshold))

@@ -51,10 +51,9 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("source_id").cast(own).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").cast(own).alias("refers_to"))
 
 
-def trusted_ids(spark: SparkSession, sf_dir: str, most: int = 50_000) -> DataFrame:
-    """Ids of documents that ``labels`` marks as good: a bounded sample, so it can be broadcast."""
-    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id")
-    return folds.bounded_sample(good, "doc_id", most).select(F.col("doc_id").alias("trusted_id"))
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents that ``labels`` marks as good."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

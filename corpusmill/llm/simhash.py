@@ -25,6 +25,7 @@ from xxhash import xxh64_intdigest
 
 from ..scratch import written
 from .components import components
+from .folds import clear_name
 
 #: Bits by which linked fingerprints differ at most: the verification by shared points is exact for this number.
 LINKED_BITS = 2
@@ -126,8 +127,9 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id comes before all others. Rows are told apart by their place in ``docs``, which is read
     twice and must give the same rows in the same order: a scan of files.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = placed.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), F.col(text_col).alias("_text"))
+    own = clear_name("_row", docs.columns)
+    placed = docs.withColumn(own, F.monotonically_increasing_id())
+    keyed = placed.select(F.struct(F.col(id_col).alias("id"), F.col(own).alias("row")).alias("_key"), F.col(text_col).alias("_text"))
     groups = near_duplicates(keyed, "_key", "_text", shingle_words, segments)
-    firsts = groups.where("_key = component_id").select(F.col("_key.row").alias("_row"))
-    return placed.join(firsts, "_row", "left_semi").select(*docs.columns)
+    firsts = groups.where("_key = component_id").select(F.col("_key.row").alias(own))
+    return placed.join(firsts, own, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,8 @@ digests. Of records with equal payloads the one with the smallest source id is a
 become revisits that refer to it.
 
 Files are written and read by Spark's own writers and readers, a file per task, so any file system
-will do; Python workers parse each file as a stream.
+will do; Python workers parse each file as a stream. Every WARC record is a gzip member of its own, so
+readers may start at any record; records travel between tasks in that compressed form only.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ NAMES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 _DATE = re.compile(r"\d{14}")
-ROWS = 256
+#: A worker sends so many records, or so many bytes, at a time.
+ROWS, BLOCK_BYTES = 256, 16 << 20
 
 
 def _bytes(c: Column | str) -> Column:
@@ -127,72 +129,101 @@ def _record(name: str, offset: int, fields: dict, block: bytes) -> dict:
     }
 
 
-_META = [("record_id", "string"), ("record_type", "string"), ("uri", "string"), ("ts", "string"), ("content_type", "string"), ("source_id", "string")]
+_META = [("record_id", "string"), ("record_type", "string"), ("uri", "string"), ("ts", "string"), ("content_type", "string"), ("source_id", "string"), ("payload_bytes", "long"), ("payload_digest", "string")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of ARC files in WARC terms: record_id, record_type, uri, ts, content_type, source_id, payload_bytes, payload_digest, and head and payload."""
+def _parsed(spark: SparkSession, path: str, more: list[tuple[str, str]], add) -> DataFrame:
+    """A row for each record of the ARC files in ``path``: the columns of ``_META``, and ``more``, which ``add`` makes of the record."""
+    names = [*_META, *more]
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _KINDS[k]) for n, k in names], names=[n for n, _ in names])
 
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[dict] = []
+                rows, held = [], 0
                 for offset, fields, block in arc_records(content.as_py()):
                     r = _record(_name(name), offset, fields, block)
-                    rows.append(r | {"payload_bytes": len(r["payload"]), "payload_digest": _sha1(r["payload"])})
-                    if not with_payload:
-                        r = rows[-1]
-                        r["head"] = r["payload"] = None
-                    if len(rows) >= ROWS:
+                    r |= {"payload_bytes": len(r["payload"]), "payload_digest": _sha1(r["payload"])}
+                    rows.append({n: r[n] for n, _ in _META} | add(r))
+                    held += len(block)
+                    if len(rows) >= ROWS or held >= BLOCK_BYTES:
                         yield out(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield out(rows)
 
-    names = [*_META, ("payload_bytes", "long"), ("payload_digest", "string"), ("head", "binary"), ("payload", "binary")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in names], names=[n for n, _ in names])
-
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(parse, ", ".join(f"{n} {k}" for n, k in names))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, level: str = "DEFAULT_COMPRESSION") -> None:
+def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of ARC files in WARC terms: record_id, record_type, uri, ts, content_type, source_id, payload_bytes, payload_digest, and head and payload.
+
+    Repeated records are rows of their own; files without records give none.
+    """
+    more = [("head", "binary"), ("payload", "binary")] if with_payload else []
+    return _parsed(spark, path, more, lambda r: {n: r[n] for n, _ in more})
+
+
+def _member(lines: list[tuple[str, str | None]], block: bytes, level: int) -> bytes:
+    """A WARC record as a gzip member that ends in a zero byte. Header lines without a value are left out."""
+    head = "".join(f"{n}: {v}\r\n" for n, v in [*lines, ("Content-Length", str(len(block)))] if v is not None)
+    member = gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", level, mtime=0)
+    # the last byte is the highest of the record's length, 0 below 16 MB; else a member of nothing follows
+    return member if member[-1] == 0 else member + gzip.compress(b"", level, mtime=0)
+
+
+def _lines(r: dict, kind: str) -> list[tuple[str, str | None]]:
+    return [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", f"<urn:uuid:{r['record_id']}>"),
+        ("WARC-Date", r["ts"]),
+        ("WARC-Target-URI", r["uri"] if kind != "warcinfo" else None),
+        ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"),
+        ("X-Source-Id", r["source_id"]),
+        ("Content-Type", r["content_type"]),
+    ]
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, level: int = 6) -> None:
     """ARC files to WARC files. Payloads of fewer than ``least_bytes`` bytes are never revisits.
 
     The first pass over the archives gives ids and digests only; its pre-aggregated minimum per
-    digest is joined to the second pass, a plain join that may split a digest that very many records share.
+    digest is joined to the second pass, a plain join that may split a digest that very many records
+    share. The second pass sends whole records, compressed; a record that turns out to be a revisit is
+    written anew from its headers. Of equal payloads with equal or no source ids the least record id is the
+    response; empty archives give an archive without records.
     """
     order = F.struct(F.expr("try_cast(source_id as bigint)").isNull().alias("a"), F.expr("try_cast(source_id as bigint)").alias("b"), F.col("source_id").alias("c"), F.col("record_id").alias("d"))
     firsts = read_arc(spark, arc_path, with_payload=False).where(F.col("record_type") == "response").groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"))
     firsts = firsts.select("payload_digest", "payload_bytes", F.col("first.c").alias("first_source"), F.col("first.d").alias("first_record"))
-    rows = read_arc(spark, arc_path).join(firsts, ["payload_digest", "payload_bytes"], "left")
+    more = [("head", "binary"), ("member", "binary")]
+    whole = _parsed(spark, arc_path, more, lambda r: {"head": r["head"], "member": _member(_lines(r, r["record_type"]), r["head"] + r["payload"], level)})
     revisit = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes) & (F.col("first_record") != F.col("record_id"))
-    revisit = F.coalesce(revisit, F.lit(False))
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-    only = lambda c: F.when(revisit, c)
-    head, payload = F.col("head").cast("string"), F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
-    record = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("record_type"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">"))),
-        line("WARC-Date", F.col("ts")),
-        line("WARC-Target-URI", F.when(F.col("record_type") != "warcinfo", F.col("uri"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        line("WARC-Refers-To", only(F.concat(F.lit("<urn:uuid:"), F.col("first_record"), F.lit(">")))),
-        line("X-Source-Id", F.col("source_id")),
-        line("X-Refers-To-Source-Id", only(F.col("first_source"))),
-        line("X-Payload-Length", only(F.col("payload_bytes").cast("string"))),
-        line("Content-Type", F.col("content_type")),
-        line("Content-Length", (_bytes(F.col("head")) + F.when(revisit, F.lit(0).cast("long")).otherwise(_bytes(F.col("payload")))).cast("string")),
-        F.lit("\r\n"),
-        head,
-        payload,
-    )
-    rows.select(record.alias("value")).write.option("compression", "gzip").option("zlib.compress.level", level).option("lineSep", "\r\n\r\n").text(warc_path)
+    rows = whole.join(firsts, ["payload_digest", "payload_bytes"], "left").withColumn("again", F.coalesce(revisit, F.lit(False)))
+    rows = rows.select(*(n for n, _ in _META), "first_source", "first_record", "head", "again", F.when(~F.col("again"), F.col("member")).alias("member"))
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["again"]:
+                    own = [
+                        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                        ("WARC-Refers-To", f"<urn:uuid:{r['first_record']}>"),
+                        ("X-Refers-To-Source-Id", r["first_source"]),
+                        ("X-Payload-Length", str(r["payload_bytes"])),
+                    ]
+                    r["member"] = _member(_lines(r, "revisit") + own, r["head"], level)
+                out.append(r["member"][:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    # the writer ends each value with the zero byte that its member lacks
+    members = rows.mapInArrow(finish, "value binary").select(F.col("value").cast("string"))
+    members.write.option("compression", "none").option("lineSep", "\0").text(warc_path)
 
 
 def warc_records(content: bytes):
@@ -212,8 +243,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files: record_id, record_type, uri, ts, content_type, source_id, payload_bytes, payload_digest, refers_to, refers_to_id.
 
     Bytes and digest of a response are computed from its payload; those of a revisit are its headers'.
+    Repeated records are rows of their own; files without records give none.
     """
-    names = [*_META, ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "string"), ("refers_to_id", "string")]
+    names = [*_META, ("refers_to", "string"), ("refers_to_id", "string")]
 
     def row(headers: dict, block: bytes) -> tuple:
         bare = lambda x: x[len("<urn:uuid:") : -1] if x else None
@@ -230,7 +262,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = [row(*r) for r in warc_records(content.as_py())]
-                kinds = {"string": pa.string(), "long": pa.int64()}
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], names=[n for n, _ in names])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(names)], names=[n for n, _ in names])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ", ".join(f"{n} {k}" for n, k in names))
