@@ -1,8 +1,9 @@
 """Tables written between the steps of an operator.
 
 They go to the shared folder that the cluster names in ``spark.checkpoint.dir``, so that a lost
-executor loses none of them. Only where that setting is absent (tests, a laptop) a folder of our
-own is set. Like Spark's reliable checkpoints they stay until the folder is cleared.
+executor loses none of them. Only where that setting is absent and the master is local (tests, a
+laptop) a folder of our own is set; a cluster without it is an error. Like Spark's reliable checkpoints
+they stay until the folder is cleared, but for those of a loop, which go once the next one is written.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "corpusmill-" + spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -36,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """At most ``rows`` rows in a batch for a Python worker: 10,000 long documents, the default, would not fit."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
