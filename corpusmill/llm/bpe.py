@@ -157,21 +157,28 @@ def _joined(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, block_bytes: int = 12 << 20) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, block_bytes: int = 12 << 20, bucket_bytes: int = 4 << 30, most_buckets: int = 4096, task_bytes: int = 64 << 20
+) -> DataFrame:
     """Ids of every whole text: id, n_tokens, ids (little-endian uint32).
 
     Null, empty and blank texts have no ids; repeated rows and null ids stay; an empty table gives an
     empty result; other columns are not read. The words are numbered twice, so each partition must
     hold the same rows in the same order both times: true of a scan of files (``stable``); any other
-    input is first written to the shared folder.
+    input is first written to the shared folder. Buckets and tasks follow from the bytes of the texts,
+    so no task grows with the corpus: a bucket has the words of ``bucket_bytes`` of text (of more where
+    there would be over ``most_buckets``; its words pass through as a stream), and a task that joins the
+    ids back has ``task_bytes`` of text, a block at a time.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col), F.col(text_col))
     docs = docs if stable else written(docs, "texts")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    back = encoded_words(word_rows(docs, buckets, block_bytes), tokenizer_path, buckets)
+    total, least = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, tasks = max(least, min(most_buckets, -(-total // bucket_bytes))), max(least, -(-total // task_bytes))
+    back = encoded_words(word_rows(docs, buckets, block_bytes), tokenizer_path, buckets).repartition(tasks, "block")
     kind = docs.schema[0].dataType.simpleString()
-    own = numbered(docs, buckets, block_bytes)
+    own = numbered(docs, buckets, block_bytes).repartition(tasks, "block")
     out = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_joined, f"id {kind}, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 

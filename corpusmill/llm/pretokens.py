@@ -62,6 +62,13 @@ class ChunkIds(dict):
             self.parts[text] = out
         return out
 
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text, which are encoded each by itself; the text itself if the tokenizer has other steps."""
+        if m := _PLAIN.fullmatch(text.removeprefix(" ")):
+            first, *rest = m.groups()
+            return [text[: len(text) - len(text.removeprefix(" "))] + first, *(x for x in rest if x)]
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.model else [text]
+
     def first(self, chunk: str) -> bytes:
         """The ids of a chunk without a space before it."""
         if m := _PLAIN.fullmatch(chunk):

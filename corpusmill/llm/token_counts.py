@@ -1,15 +1,17 @@
 """Token counts by a map-side two-tier lookup.
 
-First tier: a broadcast hash table of the lengths of the most frequent chunks (``table_rows`` at
-most, so its size has a bound that does not grow with the corpus). Second tier: every chunk that is
-not in it is encoded by the tokenizer once per worker and kept in that worker's bounded cache. Both
-tiers give what the library gives, so the table decides the speed and never a count. No chunk of the
-corpus is shuffled: the pass that finds the frequent ones exchanges ``task_rows`` summed rows per
-task at most.
+First tier: a broadcast table of the lengths of the most frequent pre-tokens (``table_rows`` at most,
+so its size has a bound that does not grow with the corpus), as Arrow columns. Second tier: every
+pre-token that is not in it is encoded by the tokenizer once per worker and kept in that worker's bounded
+cache. Both tiers give what the library gives, so the table decides the speed and never a count. A
+worker also remembers the sums of space-separated chunks, a few pre-tokens each. No pre-token of the
+corpus is shuffled: the pass that finds the frequent ones exchanges ``task_rows`` summed rows per task
+at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -23,8 +25,8 @@ from .pretokens import chunk_ids
 _COUNTED = 400_000
 
 
-def frequent_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text", table_rows: int = 65_536, task_rows: int = 4_096) -> DataFrame:
-    """The most frequent chunks of all texts: columns chunk, n. At most ``table_rows`` rows."""
+def frequent_pretokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", table_rows: int = 65_536, task_rows: int = 4_096) -> DataFrame:
+    """The most frequent pre-tokens of all texts: columns pretoken, n. At most ``table_rows`` rows."""
 
     def summary(batches):
         ids, n = chunk_ids(tokenizer_path), Counter()
@@ -34,24 +36,36 @@ def frequent_chunks(docs: DataFrame, tokenizer_path: str, text_col: str = "text"
                     n.update(chunks[1:])
             if len(n) > _COUNTED:
                 n = Counter(dict(n.most_common(_COUNTED // 2)))
-        top = n.most_common(task_rows)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["chunk", "n"])
+        parts: Counter = Counter()
+        for chunk, times in n.items():
+            for part in ids.pretokens(" " + chunk):
+                parts[part] += times
+        top = parts.most_common(task_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["pretoken", "n"])
 
-    return docs.select(F.col(text_col)).mapInArrow(summary, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table_rows)
+    return docs.select(F.col(text_col)).mapInArrow(summary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(table_rows)
 
 
 class Lengths(dict):
-    """Chunk -> number of tokens: the broadcast table, and the misses of this worker up to ``most``."""
+    """Chunk -> number of tokens of " " + chunk, for up to ``most`` chunks; pre-tokens come from the broadcast table or the tokenizer."""
 
-    def __init__(self, path: str, table: dict[str, int], most: int = 500_000):
-        super().__init__(table)
-        self.ids, self.table, self.most = chunk_ids(path), table, len(table) + most
+    def __init__(self, path: str, table: bytes, most: int = 500_000):
+        super().__init__()
+        self.ids, self.most = chunk_ids(path), most
+        rows = pa.ipc.open_stream(table).read_all()
+        self.table: dict[str, int] = dict(zip(rows["pretoken"].to_pylist(), rows["length"].to_pylist(), strict=True))
+
+    def part(self, pretoken: str) -> int:
+        n = self.table.get(pretoken)
+        return len(self.ids.part(pretoken)) // 4 if n is None else n
+
+    def whole(self, text: str) -> int:
+        return sum(map(self.part, self.ids.pretokens(text)))
 
     def __missing__(self, chunk: str) -> int:
         if len(self) >= self.most:
             self.clear()
-            self.update(self.table)
-        self[chunk] = n = len(self.ids[chunk]) // 4
+        self[chunk] = n = self.whole(" " + chunk)
         return n
 
     def count(self, text: str | None) -> int:
@@ -60,10 +74,10 @@ class Lengths(dict):
         chunks = self.ids.chunks(text)
         if chunks is None:
             return len(self.ids.encoded(text)) // 4
-        return len(self.ids.first(chunks[0])) // 4 + sum(map(self.__getitem__, chunks[1:]))
+        return self.whole(chunks[0]) + sum(map(self.__getitem__, chunks[1:]))
 
 
-_TIERS: dict[tuple, Lengths] = {}
+_TIERS: dict[str, Lengths] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 65_536) -> DataFrame:
@@ -72,13 +86,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; null ids stay;
     an empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col), F.col(text_col))
     # bounded by table_rows short strings, whatever the corpus
-    table = {r.chunk: None for r in frequent_chunks(docs, tokenizer_path, text_col, table_rows).select("chunk").collect()}
+    frequent = [r.pretoken for r in frequent_pretokens(docs, tokenizer_path, text_col, table_rows).select("pretoken").collect()]
     ids = chunk_ids(tokenizer_path)
-    shared = spark.sparkContext.broadcast({c: len(ids[c]) // 4 for c in table})
-    key = (tokenizer_path, spark.sparkContext.applicationId, shared.id if hasattr(shared, "id") else id(shared))
+    rows = pa.table({"pretoken": pa.array(frequent, pa.string()), "length": pa.array([len(ids.part(x)) // 4 for x in frequent], pa.uint32())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    key = uuid.uuid4().hex  # a worker lives on between tables
     kind = docs.schema[0].dataType.simpleString()
 
     def count(batches):

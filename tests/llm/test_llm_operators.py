@@ -1,6 +1,8 @@
 """The ten operators against the libraries, brute force and held-out labels; nulls, empty and long texts, repeats, empty tables, clashing names."""
 
 import base64
+import ctypes
+import glob
 import gzip
 import hashlib
 import re
@@ -110,52 +112,82 @@ def test_full_bins_hold_a_fixed_count(spark):
     assert bins and all(len(b) == s >> 40 and {2048 // x for x in b} == {s >> 40} for s, b in bins.items())
 
 
-def brute_winnow(text, k=4, window=8):
-    """Least hash of each window, the rightmost of equals, by position."""
-    import ctypes
-
-    tokens = re.findall(r"[^ \n\t\x0b\f\r]{1,24}", text or "")
+def gram_hash(chars, k):
+    """Spark's xxhash64 folded over k signs by doubling; nothing is hashed beyond the end."""
 
-    def h(x):
-        return xxh64_intdigest(x, 42)
-
-    def row(values):  # Spark's xxhash64 of several longs: each seeds the next
+    def both(*values):
         seed = 42
         for v in values:
-            seed = xxh64_intdigest(np.array([v], "<u8").tobytes(), seed)
+            if v is not None:
+                seed = xxh64_intdigest(v.encode() if isinstance(v, str) else np.array([v], "<i8").tobytes(), seed)
         return ctypes.c_int64(seed).value
 
-    one = [h(t) for t in tokens]
-    grams = [row(one[i : i + k]) for i in range(max(len(one) - k + 1, min(len(one), 1)))]
-    grams = [g >> 32 for g in grams]
+    x, reach = list(chars), 1
+    while reach < k:
+        step = min(reach, k - reach)
+        x, reach = [both(v, x[i + step] if i + step < len(x) else None) for i, v in enumerate(x)], reach + step
+    return x[0]
+
+
+def brute_winnow(text, k=winnowing.GRAM, window=winnowing.WINDOW):
+    """Least hash of each window, the rightmost of equals, by position."""
+    text, known = text or "", {}
+    parts = [text[i : i + k] for i in range(max(len(text) - k + 1, min(len(text), 1)))]
+    for part in parts:
+        if part not in known:
+            known[part] = gram_hash(part, k) >> 32
+    grams = [known[part] for part in parts]
     out = []
     for i in range(max(len(grams) - window + 1, min(len(grams), 1))):
         j = min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j], -j))
-        if (grams[j], j) not in out:
+        if not out or (grams[j], j) != out[-1]:
             out.append((grams[j], j))
     return out
 
 
-def test_winnowing(odd, spark):
-    texts = [t for t in ODD if t is None or len(t) < 1000] + ["a b a b a b a b a b a b a b a b", "lorem ipsum dolor sit amet " * 9]
+def chosen(fingerprint):
+    return [(x >> 31, (1 << 31) - 1 - (x & ((1 << 31) - 1))) for x in fingerprint]
+
+
+def test_winnowing(spark):
+    texts = [t for t in ODD if t is None or len(t) < 1000] + ["a b a b a b a b a b a b a b a b" * 4, "lorem ipsum dolor sit amet " * 9, "你好世界" * 30]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = rows.select("doc_id", winnowing.winnow(F.col("text")).alias("f")).select("doc_id", F.transform("f", lambda x: F.shiftright(x, 31)).alias("h"), winnowing.positions(F.col("f")).alias("p")).collect()
+    got = rows.select("doc_id", winnowing.winnow(F.col("text")).alias("f")).select("doc_id", "f", winnowing.positions(F.col("f")).alias("p")).collect()
     for r in got:
-        assert list(zip(r.h, r.p)) == brute_winnow(texts[r.doc_id])
+        assert chosen(r.f) == brute_winnow(texts[r.doc_id]) and r.p == [p for _, p in chosen(r.f)]
+
+
+def test_a_shared_passage_gives_a_common_hash_after_any_shift(spark):
+    rng = np.random.default_rng(11)
+    signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA0, n)))
+    passage = signs(winnowing.GRAM + winnowing.WINDOW - 1)  # no blanks anywhere
+    texts = [signs(shift) + passage + signs(rng.integers(0, 50)) for shift in range(40)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(winnowing.hashes(winnowing.winnow(F.col("t"))).alias("h")).collect()
+    assert set.intersection(*(set(r.h) for r in found))
 
 
 def test_edited_by_next(odd, empty, spark):
-    rows = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(50)]
+    long = [" ".join(rng.choice(words, n)) for n in (30, 80, 200, 400)]
+    rows = [(i, t) for i, t in enumerate([t for t in ODD if t is None or len(t) < 1000] + long + [long[0], "x" + long[2]])]
     path = fresh_path(spark, "unique")
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
-    texts = [r.text or "" for r in rows.orderBy("doc_id").collect()]
-    got = winnowing.edited_by_next(rows).orderBy("doc_id").collect()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    texts = [t or "" for _, t in rows]
+    got = winnowing.edited_by_next(spark.read.parquet(path)).orderBy("doc_id").collect()
     assert len(got) == len(texts)
+
+    def likeness(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
     for i, r in enumerate(got):
-        cut = len(texts[i]) // 4
-        assert r.edited_text == texts[i][: len(texts[i]) - cut] + texts[(i + 1) % len(texts)][:cut]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        after, cut = texts[(i + 1) % len(texts)], len(texts[i]) // 4
+        edited = texts[i][: len(texts[i]) - cut] + after[:cut]
+        own, other, new = brute_winnow(texts[i]), brute_winnow(edited), brute_winnow(after)
+        assert r.edited_text == edited and r.n_chars == len(texts[i])
+        assert chosen(r.fingerprint) == own and chosen(r.edited_fingerprint) == other
+        assert r.near_edited == pytest.approx(likeness(own, other)) and r.near_next == pytest.approx(likeness(own, new))
     assert winnowing.edited_by_next(odd).count() == len(ODD) + 2
     assert winnowing.edited_by_next(empty).count() == 0
 
@@ -168,6 +200,21 @@ def test_next_over_many_ranges(spark):
     assert len(got) == 5000 and all(after[r.k] == r.after for r in got)
 
 
+def test_next_where_many_rows_have_one_id(spark):
+    n = F.col("id")
+    rows = spark.range(3000).select(F.when(n % 3 == 0, n).when(n % 3 == 1, F.lit(1500)).alias("k"), n.alias("v"))
+    got = winnowing.with_next(rows, "k", F.col("v"), "after", range_rows=50).collect()
+    # the rows form one circle through all values, ids ascending, null first
+    at, seen, keys = {r.v: r for r in got}, [], []
+    v = min(r.v for r in got)
+    for _ in range(3000):
+        seen.append(v)
+        keys.append(-1 if at[v].k is None else at[v].k)
+        v = at[v].after
+    assert sorted(seen) == list(range(3000)) and v == seen[0]
+    assert sum(a > b for a, b in zip(keys, keys[1:] + keys[:1])) == 1
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_warc(spark, version):
     html = [None, "", "<p>\r\n\r\nWARC/1.1\r\n</p>", "<p>é</p>", "<p>é</p>", "x" * 100_000, "x" * 100_000]
@@ -185,6 +232,27 @@ def test_warc(spark, version):
         assert (r.record_type, r.refers_to_id) == (("response", None) if first[h or ""] == i else ("revisit", str(first[h or ""])))
         assert r.uri == (url or "unknown:").replace(" ", "%20") and r.ts == "2024-01-01T00:00:00Z"
     assert warc.read_warc(spark, warcs).where("record_type = 'warcinfo'").count() >= 1
+    for file in glob.glob(warcs.removeprefix("file://") + "/part-*"):  # a gzip member is a record
+        data = open(file, "rb").read()
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and record.count(b"\r\nWARC-Record-ID: ") == 1
+            data = member.unused_data
+
+
+def test_warc_of_nothing_and_of_a_long_page(spark):
+    schema = "page_id long, url string, html string"
+    arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    warc.write_arc(spark.createDataFrame([], schema), arcs, "page_id", "url", "html")
+    warc.convert(spark, arcs, warcs)
+    assert warc.read_warc(spark, warcs).where("record_type <> 'warcinfo'").count() == 0
+    long = "é" * (9 << 20)  # more than 16 MB
+    arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    warc.write_arc(spark.createDataFrame([(5, "u", long), (None, None, "n"), (2, "u", long), (None, "u", "n")], schema).repartition(2), arcs, "page_id", "url", "html")
+    warc.convert(spark, arcs, warcs)
+    got = warc.read_warc(spark, warcs).where("record_type <> 'warcinfo'").select("source_id", "record_type", "payload_bytes", "refers_to_id").collect()
+    same([tuple(r) for r in got], [("2", "response", 18 << 20, None), ("5", "revisit", 18 << 20, "2"), (None, "response", 1, None), (None, "revisit", 1, None)])
 
 
 def test_arc_records():
@@ -209,14 +277,15 @@ def test_quality_rules(odd, empty, spark):
         lines = [x for x in text.split("\n") if word.search(x)]
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
         assert r.q_base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r.q_kept and r.q_base_failed)
+        assert not (r.q_kept and r.q_base_failed) and (r.q_llr is None) == r.q_base_failed
+    clash = odd.withColumn("counts", F.lit("mine")).withColumn("q_counts", F.lit("mine")).withColumn("_COUNTS", F.lit("mine"))
+    kept = quality_rules.quality_rules(clash, trusted, prefix="q_")
+    assert {tuple(r) for r in kept.select("counts", "q_counts", "_counts").distinct().collect()} == {("mine",) * 3}
     assert quality_rules.quality_rules(empty, trusted).count() == 0
 
 
 def test_llr_equals_brute_force(spark):
-    import ctypes
-
-    texts = ["good text is good", "bad bad ### ###", "good bad", ""]
+    texts = ["good text is good " + " ".join(map(str, range(50, 110))), "bad bad ### ### " * 20, "good bad " * 5 + " ".join(map(str, range(90))), ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trusted = spark.createDataFrame([(0,)], "trusted_id long")
     bits = 8
@@ -237,11 +306,13 @@ def test_llr_equals_brute_force(spark):
     raw, good = Counter(b for t in texts for b in buckets(t)), Counter(buckets(texts[0]))
     nr, nt = sum(raw.values()), sum(good.values())
     ratio = {b: np.log((good[b] + 1) / (nt + 256)) - np.log((raw[b] + 1) / (nr + 256)) for b in range(256)}
-    got = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, trusted, bits=bits).collect()}
+    found = quality_rules.quality_rules(docs, trusted, bits=bits).collect()
+    got, failed = {r.doc_id: r.llr for r in found}, {r.doc_id: r.base_failed for r in found}
+    assert list(failed.values()).count(False) >= 2
     for i, t in enumerate(texts):
         b = buckets(t)
-        assert got[i] == pytest.approx(sum(ratio[x] for x in b) / max(len(b), 1), abs=1e-12)
-    assert ctypes.c_int64(1).value == 1
+        assert (got[i] is None) == failed[i]
+        assert failed[i] or got[i] == pytest.approx(sum(ratio[x] for x in b) / max(len(b), 1), abs=1e-12)
 
 
 def test_language_id(spark, sf_dir, odd, empty):
@@ -258,6 +329,45 @@ def test_language_id(spark, sf_dir, odd, empty):
     assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_a_second_model_and_clashing_names(spark):
+    schema = "id long, t string, l string"
+    train = lambda swap: language_id.train(spark.createDataFrame([(i, "eins zwei drei" if i % 2 else "one two three", "ab"[(i + swap) % 2]) for i in range(20)], schema), "id", "t", "l")
+    docs = spark.createDataFrame([(1, "one two", "mine", "mine"), (None, "one two", None, None), (1, "one two", "mine", "mine"), (2, None, None, None)], "doc_id long, text string, _lang_pred string, `_Score` string")
+    for swap, expected in ((0, "a"), (1, "b"), (0, "a")):  # one after the other in the same workers
+        got = language_id.predict(docs, train(swap), keep=docs.columns)
+        assert got.columns == [*docs.columns, "_lang_pred_", "_score_"]
+        same([(r[0], r[2], r[4]) for r in got.collect()], [(1, "mine", expected), (None, None, expected), (1, "mine", expected), (2, None, "und")])
+
+
+def test_ngrams_of_whole_words(spark):
+    word = "a" * 70 + "bcde"  # one word without blanks, longer than any prefix
+    model = language_id.train(spark.createDataFrame([(1, word, "x"), (2, word, "x")], "id long, t string, l string"), "id", "t", "l")
+    assert "bcde" in model["grams"] and "cde$" in model["grams"]
+
+
+def test_language_scores_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.collect():
+        total, n = np.zeros(len(model["langs"])), 0
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            n += 1
+            if w in model["words"]:
+                total += model["words"][w]
+                continue
+            marked, found = f"^{w}$", []
+            for i in range(len(marked)):
+                longest = next((marked[i : i + k] for k in range(4, 0, -1) if marked[i : i + k] in model["grams"] and i + k <= len(marked)), None)
+                if longest:
+                    found.append(model["grams"][longest])
+            total += np.mean(found, 0) if found else 0
+        if not n:
+            continue
+        odds = np.exp((total - total.max()) / n * min(n, 10))
+        assert got[r.doc_id].lang_pred == model["langs"][int(np.argmax(odds))] and got[r.doc_id].score == pytest.approx(odds.max() / odds.sum(), rel=1e-4)
+
+
 def test_backoff_prefers_longer_grams():
     model = {"langs": ["a", "b"], "max_gram": 2, "words": {"yes": np.array([-1.0, -9.0], np.float32)}, "grams": {"^z": np.array([-9.0, -1.0], np.float32), "z$": np.array([-9.0, -1.0], np.float32), "z": np.array([-1.0, -9.0], np.float32)}}
     s = language_id.Scorer(model)
@@ -277,6 +387,39 @@ def test_sharding(odd, empty, spark):
     assert sharding.external_shuffle(empty.withColumn("size", F.lit(1).cast("long")), ["doc_id", "text"], "size", fresh_path(spark, "none")).count() == 0
 
 
+def test_sharding_is_the_same_on_every_cluster_and_keeps_clashing_names(spark, sf_dir):
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(sorted(tuple(r) for r in queries.op8_external_shuffle(spark, sf_dir).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) == 200
+    ids = [r[0] for r in sorted(found[0], key=lambda r: (r[5], r[4]))]  # slot, shard
+    assert ids != sorted(ids) and sum(abs(i - j) for i, j in zip(ids, sorted(ids))) > 200 * 200 / 6
+    rows = spark.createDataFrame([(i, "t", 1, "mine", "mine") for i in range(50)], "doc_id long, text string, Size long, Shard string, slot string")
+    got = sharding.external_shuffle(rows, ["doc_id", "text"], "size", fresh_path(spark, "clash"), bucket_bytes=10)
+    assert got.columns == [*rows.columns, "slot_", "shard_"]
+    assert sorted(r.slot_ * 8 + r.shard_ for r in got.collect()) == list(range(50)) and {(r.Shard, r.slot) for r in got.collect()} == {("mine", "mine")}
+
+
+def test_quality_decisions_at_two_sizes(spark, sf_dir):
+    for size, least_good, least_bad in (("0.01", 0.9, 0.85), ("0.1", 0.9, 0.85)):
+        folder = sf_dir.replace("0.001", size)
+        found = queries.op9_quality_classifier(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+        good, bad = [r.predicted for r in found if r.quality == 1], [r.predicted for r in found if r.quality == 0]
+        assert np.mean(good) >= least_good and 1 - np.mean(bad) >= least_bad
+
+
+def test_scores_against_brute_force(spark, odd):
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(1 << 10) + 1)
+    got = {r.doc_id: r.score for r in quality_classifier.score(odd, weights).collect()}
+    for i, text in enumerate(ODD):
+        columns = quality_classifier.features(text, 10)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(weights[columns].sum() / np.sqrt(max(len(columns), 1)) + weights[-1]))))
+    assert quality_classifier.scale(np.array([-2.0, -1, 1, 2]), np.array([0.0, 0, 1, 1]))[0] > 0 and quality_classifier.scale(np.ones(3), np.ones(3)) == (1.0, 0.0)
+
+
 def test_quality_classifier(spark, sf_dir, odd, empty):
     big = sf_dir.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
