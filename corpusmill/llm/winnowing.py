@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code points of a hashed gram, and neighbouring hashes of which one is chosen.
-GRAM, WINDOW = 24, 32
+GRAM, WINDOW = 16, 32
 #: The position is counted down from here, so that the least of equal hashes is the rightmost.
 _TOP = (1 << 31) - 1
 
@@ -52,9 +52,11 @@ def winnow(text: Column, k: int = GRAM, window: int = WINDOW, first: Column | No
     text = F.coalesce(text, F.lit(""))
     n, top = F.length(text), F.lit(_TOP).cast("long") - (F.lit(0) if first is None else first)
     # a hash of nulls is what was hashed before them, so grams that reach beyond the end are those of the rest
-    grams = _over(F.split(text, ""), k, lambda p, q: F.xxhash64(p, q))
+    reach = 1 << (max(k - 1, 1).bit_length() - 1)
+    halves = _over(F.split(text, ""), reach, lambda p, q: F.xxhash64(p, q))
     kept = F.greatest(n - (k - 1), F.least(n, F.lit(1)))
-    at = lambda t: let(grams, lambda h: F.transform(F.slice(h, 1, kept), lambda x, i: F.shiftleft(F.shiftright(x, 32), 31).bitwiseOR(t - i)))
+    gram = lambda h, x, i: F.xxhash64(x, F.get(h, i + (k - reach)))
+    at = lambda t: let(halves, lambda h: F.transform(F.slice(h, 1, kept), lambda x, i: F.shiftleft(F.shiftright(gram(h, x, i), 32), 31).bitwiseOR(t - i)))
     placed = let(top, at)  # what a lambda does for each position must not count the text's code points
     full = lambda x: F.slice(x, 1, F.greatest(F.size(x) - (window - 1), F.least(F.size(x), F.lit(1))))
     return F.array_distinct(let(_over(placed, window, lambda p, q: F.least(p, q)), full))
@@ -130,7 +132,7 @@ def with_next(rows: DataFrame, id_col: str, value: Column, out: str, derived: di
     own = F.when(F.col("_key") == F.get(table, F.col("_place")), F.floor(share * (F.get(begins, F.col("_place") + 1) - F.get(begins, F.col("_place"))))).otherwise(F.get(begins, F.col("_place") + 1) - F.get(begins, F.col("_place")) - 1)
     salt = F.shiftrightunsigned("_salt", 11)  # in the order of the ranges that a key is cut into
     dealt = keyed.withColumn("_place", place).withColumns({"_range": F.get(begins, F.col("_place")) + own.cast("int"), "_copy": F.lit(False), "_salt": salt}).drop("_place")
-    held = sorted(r[0] for r in dealt.select("_range").distinct().collect())  # most_ranges numbers at most
+    held = sorted(r[0] for r in dealt.select("_range").distinct().collect()) or [0]  # most_ranges numbers at most
     order = [F.col("_key"), F.col("_salt"), F.xxhash64("_value")]
     # the rows that may be a range's first: those with a first key
     heads = spark.range(1).select(F.explode(table).alias("_head"))
@@ -138,7 +140,7 @@ def with_next(rows: DataFrame, id_col: str, value: Column, out: str, derived: di
     copies = copies.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).where("_nth = 1").drop("_nth")
     known = F.split(F.lit(",".join(map(str, held))), ",").cast("array<int>")
     # a range that holds nothing is passed over
-    copies = copies.withColumns({"_range": F.get(known, F.pmod(F.array_position(known, F.col("_range")).cast("int") - 2, F.lit(max(len(held), 1)))), "_copy": F.lit(True)})
+    copies = copies.withColumns({"_range": F.get(known, F.pmod(F.array_position(known, F.col("_range")).cast("int") - 2, F.lit(len(held)))), "_copy": F.lit(True)})
     group = Window.partitionBy("_range").orderBy("_copy", *order)
     led = dealt.unionByName(copies).withColumn(out, F.lead("_value").over(group))
     led = led.withColumns({name: f(F.col("_value")) for name, f in derived.items()}) if derived else led
