@@ -5,10 +5,13 @@ Entities and relations are DataFrames; a hop is two semi joins, so no graph engi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized_name
+from ..functions.text import json_object, normalized_name, strip
+from ..scratch import written
+from .retrieval import in_blocks
 
 
 def merged_entities(found: DataFrame, most_chars: int = 200) -> DataFrame:
@@ -41,16 +44,20 @@ def _described(merged: DataFrame, found: DataFrame, keys: list[str], most_chars:
     return merged.join(folded, same, "left").drop(*(f"_{k}" for k in keys)).withColumn("description", F.coalesce("description", F.lit("")))
 
 
-def numbered(rows: DataFrame, prefix: str, ranges: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, prefix: str, range_rows: int = 20_000, most_ranges: int = 10_000) -> DataFrame:
     """Adds id: prefix and a dense number in order of ``first_seen``, without gathering the rows in one task.
 
-    Rows are dealt to ranges of first_seen at percentiles; a number is the rank in its range plus the
-    size of the ranges before.
+    Rows are written once and dealt to ranges of first_seen at percentiles, about ``range_rows`` rows each;
+    a number is the rank in its range plus the size of the ranges before.
     """
-    bounds = rows.agg(F.percentile_approx("first_seen", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>"), lambda b: b <= F.col("first_seen")))
+    rows = written(rows, "numbered")
+    ranges = max(1, min(most_ranges, rows.count() // range_rows))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = (rows.agg(F.percentile_approx("first_seen", F.lit(cuts), max(10_000, 10 * ranges))).first()[0] or []) if cuts else []
+    table = F.split(F.lit(",".join(map(str, sorted(set(bounds))))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    at = F.size(F.filter(table, lambda b: b <= F.col("first_seen")))
     dealt = rows.withColumn("_range", at)
-    before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # at most ``ranges`` rows
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # at most ``most_ranges`` rows
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("first_seen", "name", "type"))
     return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn("id", F.concat(F.lit(prefix), (F.col("_rank") + F.col("_before")).cast("string"))).drop("_range", "_rank", "_before")
@@ -71,11 +78,101 @@ def merged_relations(found: DataFrame, most_chars: int = 200) -> DataFrame:
 def matched(entities: DataFrame, names: DataFrame) -> DataFrame:
     """Entities whose name equals an asked name, contains it or is contained in it: asked, name, type.
 
-    ``names`` (asked) is a stated set of a few names; it goes to every task.
+    A contained name has two signs at least. ``names`` (asked) is a stated set; it goes to every task in
+    blocks that fit a broadcast.
     """
     asked = names.select(F.lower(normalized_name(F.col("asked"))).alias("asked")).where("asked <> ''").distinct()
-    n = F.lower(F.col("name"))
-    return entities.join(F.broadcast(asked), (n == F.col("asked")) | n.contains(F.col("asked")) | F.col("asked").contains(n)).select("asked", "name", "type")
+    n, a, found = F.lower(F.col("name")), F.col("asked"), None
+    for block in in_blocks(asked, 200):
+        hit = (n == a) | ((F.length(a) >= 2) & n.contains(a)) | ((F.length(n) >= 2) & a.contains(n))
+        some = entities.join(block, hit).select("asked", "name", "type")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+# The types that extraction may give.
+ENTITY_TYPES = ["人物", "机构", "技术", "概念", "事件", "成果"]
+RELATION_TYPES = ["提出", "开发", "发明", "启动", "导致", "影响", "属于", "相关"]
+EXTRACTION = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,type:string,description:string>>"
+
+
+def extracted(answers: DataFrame, keys: list[str], answer_col: str, entity_types: list[str] = ENTITY_TYPES, relation_types: list[str] = RELATION_TYPES, most_chars: int = 200) -> DataFrame:
+    """Checked answers of a model: ``keys``, entities and relations (arrays); both null where the answer has no such object.
+
+    Names are normalized; an entity needs a name and a known type, the first of a name counts; a relation
+    needs a known type and two different ends among the entities. Descriptions are cut at ``most_chars``.
+    """
+    told = answers.select(*keys, json_object(F.col(answer_col), EXTRACTION).alias("o"))
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    entity = lambda e: F.struct(F.coalesce(normalized_name(e["name"]), F.lit("")).alias("name"), text(e["type"]).alias("type"), F.substring(text(e["description"]), 1, most_chars).alias("description"))
+    relation = lambda r: F.struct(F.coalesce(normalized_name(r["source"]), F.lit("")).alias("source"), F.coalesce(normalized_name(r["target"]), F.lit("")).alias("target"), text(r["type"]).alias("type"), F.substring(text(r["description"]), 1, most_chars).alias("description"))
+    read = told.where("o.entities IS NOT NULL AND o.relations IS NOT NULL").select(*keys, F.transform("o.entities", entity).alias("e"), F.transform("o.relations", relation).alias("r"))
+    known = read.withColumn("e", F.filter("e", lambda e: (e["name"] != "") & e["type"].isin(entity_types)))
+    first = known.withColumn("e", F.filter("e", lambda e, i: F.array_position(F.col("e.name"), e["name"]) == i + 1))
+    ends = lambda r: F.array_contains(F.col("e.name"), r["source"]) & F.array_contains(F.col("e.name"), r["target"])
+    valid = first.select(*keys, F.col("e").alias("entities"), F.filter("r", lambda r: r["type"].isin(relation_types) & (r["source"] != r["target"]) & ends(r)).alias("relations"))
+    return answers.select(*keys).join(valid, keys, "left")
+
+
+def with_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds source_id and target_id: of the entities of a name the one seen first, null where there is none."""
+    order = Window.partitionBy("name").orderBy("first_seen", "type")
+    first = entities.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("name", "id")
+    out = relations
+    for end in ("source", "target"):
+        out = out.join(first.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "left")
+    return out
+
+
+def of_document(relations: DataFrame, mentions: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:
+    """A document's part of the graph: names and relations (source, target, type) that ``mentions`` (and doc_id) has of it."""
+    own = mentions.where(F.col("doc_id") == doc_id).select("source", "target", "type").distinct()
+    kept = relations.join(own, ["source", "target", "type"], "left_semi")
+    return kept.select(F.explode(F.array("source", "target")).alias("name")).distinct(), kept
+
+
+def context_lines(entities: DataFrame, relations: DataFrame, key: str, most_entities: int = 30, most_relations: int = 40, most_chars: int = 60) -> DataFrame:
+    """The text that a prompt gets of each ``key``'s entities (name, type, description, count, n) and relations
+    (source, type, target, description, n): key, context. The first of each by ``n``, descriptions cut."""
+    bare = F.replace(strip(F.coalesce("description", F.lit(""))), F.lit("\n"), F.lit(" "))
+    cut = F.when(F.length(bare) > most_chars, F.concat(F.substring(bare, 1, most_chars), F.lit("…"))).otherwise(bare)
+    told = [
+        (0, "【知识图谱实体】", entities, most_entities, F.concat("name", F.lit("("), "type", F.lit("|"), cut, F.lit("|"), F.col("count").cast("string"), F.lit(")"))),
+        (1, "【知识图谱关系】", relations, most_relations, F.concat_ws("|", "source", "type", "target", cut)),
+    ]
+    rows = None
+    for part, title, frame, most, line in told:
+        top = frame.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("n"))).where(F.col("_r") <= most)
+        lines = top.select(key, F.lit(part).alias("part"), F.col("_r").alias("r"), line.alias("line"))
+        lines = lines.unionByName(lines.select(key, "part", F.lit(0).alias("r"), F.lit(title).alias("line")).distinct())
+        rows = lines if rows is None else rows.unionByName(lines)
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "r", "line"))).alias("l")).select(key, F.array_join(F.col("l.line"), "\n").alias("context"))
+
+
+def shown_network(relations: DataFrame, counts: DataFrame, start: DataFrame, hops: int = 2, most: int = 200) -> DataFrame:
+    """Relations to draw around ``start``: ``hops`` steps; one step if that reaches over ``most`` names; of too many still the
+    ``most`` with the highest count (``counts``: name, count; the start's come first, ties by name)."""
+    reached = neighbours(relations, start, hops)
+    if hops > 1 and reached.limit(most + 1).count() > most:
+        reached = neighbours(relations, start, 1)
+    own = start.select("name").distinct().withColumn("_own", F.lit(1))
+    ranked = reached.join(counts, "name", "left").join(own, "name", "left").orderBy(F.desc_nulls_last("_own"), F.desc_nulls_last("count"), "name").limit(most)
+    return induced(relations, ranked)
+
+
+def write_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """Saves a base's graph as two Parquet tables in place of what was there."""
+    entities.write.mode("overwrite").parquet(f"{path}/entities")
+    relations.write.mode("overwrite").parquet(f"{path}/relations")
+
+
+def read_graph(spark: SparkSession, path: str, entities: str, relations: str) -> tuple[DataFrame, DataFrame]:
+    """A saved graph by the schemas of its tables; empty tables where one is absent or damaged."""
+    try:
+        found = tuple(spark.read.parquet(f"{path}/{part}") for part in ("entities", "relations"))
+    except PySparkException:
+        return spark.createDataFrame([], entities), spark.createDataFrame([], relations)
+    return found
 
 
 def neighbours(relations: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:

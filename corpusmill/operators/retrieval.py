@@ -6,11 +6,14 @@ queries. Rankings end in a unique key, so ties have one order.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import let, terms
 from ..functions.vectors import cosine, norm
+from ..scratch import written
 
 #: Constants of the keyword score and of rank fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -18,14 +21,23 @@ K1, B, RRF_K = 1.5, 0.75, 60
 BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
-    """``df`` with a broadcast hint if that many rows of that size stay below the bound; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
+def in_blocks(df: DataFrame, bytes_per_row: int) -> Iterator[DataFrame]:
+    """``df`` as tables that may each be broadcast, by a hash of its rows; all of it at once if it is small."""
+    blocks = max(1, -(-df.count() * bytes_per_row // BROADCAST_BYTES))
+    for i in range(blocks):
+        yield F.broadcast(df if blocks == 1 else df.where(F.pmod(F.xxhash64(*df.columns), F.lit(blocks)) == i))
+
+
+def active(rows: DataFrame) -> DataFrame:
+    """Rows of documents that are not in the trash: doc_active true or missing."""
+    return rows.where(F.coalesce(F.col("doc_active"), F.lit(True)))
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The inverted index: term, chunk_id, tf, doc_len. Null texts have no terms."""
-    counted = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(text_col)).alias("terms")).select("chunk_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+    sized = let(terms(F.col(text_col)), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("doc_len"))))
+    # explode would filter on the size of the array first, and so cut each text into terms twice
+    counted = chunks.select(F.col(id_col).alias("chunk_id"), F.explode_outer(sized).alias("t")).where("t IS NOT NULL").select("chunk_id", "t.term", "t.doc_len")
     return counted.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
@@ -35,13 +47,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     idf is ln(1 + (N - df + .5) / (df + .5)) over all chunks; each distinct term of a query counts
     once. Only postings of terms that occur in a query are scored: the query terms meet the index in
     a hash join, broadcast if small. Counts are pre-aggregated, so a very common term shuffles one
-    row per chunk.
+    row per chunk. What the queries need of the index is written once: it serves counts and scores.
     """
-    index = postings(chunks, id_col, text_col)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    size = F.size(terms(F.col(text_col)))
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))  # one row
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("term IS NOT NULL")
+    corpus = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text_col)))).alias("avgdl"))  # one row
+    wanted = written(postings(chunks, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
@@ -50,6 +60,15 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     return _top(totals, top_k)
 
 
+def fields_search(chunks: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], query_id: str, query_text: str, top_k: int) -> DataFrame:
+    """Keyword search over several columns: the sum of each column's scores times its weight, the best ``top_k``."""
+    parts = [bm25(chunks, queries, id_col, c, query_id, query_text, 1 << 30).withColumn("score", F.col("score") * w) for c, w in fields.items()]
+    united = parts[0]
+    for p in parts[1:]:
+        united = united.unionByName(p)
+    return _top(united.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), top_k)
+
+
 def _top(scored: DataFrame, top_k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", "rank")
@@ -58,14 +77,19 @@ def _top(scored: DataFrame, top_k: int) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, top_k: int) -> DataFrame:
     """Exact cosine search of a stated set of queries (query_id, vector): query_id, chunk_id, score, rank.
 
-    The queries travel in blocks to the vectors' partitions; each partition keeps its best ``top_k``
-    per query before the shuffle (a window group limit), so what is shuffled is top_k rows per query
-    and partition.
+    The queries travel to the vectors' partitions in blocks that fit a broadcast, whatever their number;
+    each partition keeps its best ``top_k`` per query before the shuffle (a window group limit), so what
+    is shuffled is top_k rows per query and partition.
     """
     own = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("nv"))
-    asked = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"))
-    scored = own.join(small(asked, asked.count(), 600)).select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
-    return _top(scored, top_k)
+    # written, since a query's vector may come from a model
+    asked = written(queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq")), "asked")
+    width = asked.agg(F.max(F.size("q"))).first()[0] or 1
+    found = None
+    for block in in_blocks(asked, 32 + 8 * width):
+        scored = own.join(block).select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
+        found = _top(scored, top_k) if found is None else found.unionByName(_top(scored, top_k))  # a query is in one block
+    return found
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, min_score: float = 0.0) -> DataFrame:
@@ -95,6 +119,29 @@ def rerank(hits: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
     return joined.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= top_k).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, top_k: int = 5, min_score: float = 0.0, hybrid: bool = True, rerank_top: int | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, dim: int | None = None
+) -> DataFrame:
+    """The whole search: query_id, chunk_id, vector_score, keyword_score, rerank_score, score, rank.
+
+    ``chunks``: chunk_id, text, embedding, doc_active; ``queries``: query_id, text, vector. Both channels see
+    active documents only and give ``max(top_k, rerank_top)`` candidates where a reranker follows; they are
+    fused, cut by ``min_score``, put to ``reranker`` (hits with the texts of both sides -> query_id, chunk_id,
+    rerank_score) and cut at ``top_k``. Queries whose vectors are not of ``dim`` numbers are an error.
+    """
+    if dim is not None and queries.where(F.size("vector") != dim).limit(1).count():
+        raise ValueError(f"a query's vector has not the {dim} numbers of the index")
+    live = active(chunks)
+    wide = max(top_k, rerank_top or top_k) if reranker else top_k
+    near = vector_search(live, queries, "chunk_id", "embedding", wide)
+    words = bm25(live, queries, "chunk_id", "text", "query_id", "text", wide)
+    hits = fuse(near, words if hybrid else words.where("false"), wide, min_score)
+    if not reranker:
+        return hits.withColumn("rerank_score", F.lit(None).cast("double"))
+    texts = hits.join(live.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    return rerank(hits, reranker(texts), top_k)
+
+
 def merge_bases(hits: DataFrame, base_col: str, per_base: int, top_k: int) -> DataFrame:
     """Hits of several bases merged: the best of each base, then the best of all by score rounded to 4 digits, ties by base and rank."""
     own = Window.partitionBy("query_id", base_col).orderBy(F.desc("score"), "chunk_id")

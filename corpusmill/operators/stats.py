@@ -61,8 +61,10 @@ def rate_limit(requests: DataFrame, key: str, ts: str, tie: str, most: int, seco
 
     Whether a request counts depends on those before it, so this is a fold: the rows of a key are
     sorted by Spark and pass through one worker as a stream, which holds ``most`` times and no more.
-    A null key or time is never accepted.
+    A null key or time is never accepted, and a null key meets no fold.
     """
+    refused = requests.where(F.col(key).isNull()).select(F.col(key), F.col(tie), F.lit(False).alias("accepted"))
+    requests = requests.where(F.col(key).isNotNull())
     rows = requests.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.col(tie).alias("i"))
     kinds = [f.dataType.simpleString() for f in rows.schema]
 
@@ -81,7 +83,7 @@ def rate_limit(requests: DataFrame, key: str, ts: str, tie: str, most: int, seco
                 out.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=["k", "i", "accepted"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(fold, f"k {kinds[0]}, i {kinds[2]}, accepted boolean").select(F.col("k").alias(key), F.col("i").alias(tie), "accepted")
+    return rows.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(fold, f"k {kinds[0]}, i {kinds[2]}, accepted boolean").select(F.col("k").alias(key), F.col("i").alias(tie), "accepted").unionByName(refused)
 
 
 def transitions(rows: DataFrame, key: str, state: str, order: list[str], legal: list[tuple[str, str]]) -> DataFrame:
