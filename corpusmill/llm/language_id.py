@@ -44,7 +44,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n.update((lang, w) for w in _words(text))
-            if len(n) > 500_000:
+            if len(n) > 200_000:
                 yield out(n)
                 n = Counter()
         yield out(n)
@@ -64,7 +64,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                 for size in range(1, max_gram + 1):
                     for i in range(len(w) - size + 1):
                         n[lang, w[i : i + size]] += k
-                if len(n) > 500_000:
+                if len(n) > 200_000:
                     yield out(n)
                     n = Counter()
         yield out(n)
@@ -91,54 +91,107 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     return model
 
 
-class Scorer(dict):
-    """Chunk without white space -> row of its log scores in ``table``; rows of ``most`` chunks are kept per worker."""
-
-    def __init__(self, model: dict, most: int = 300_000):
-        super().__init__()
-        self.model, self.most, self.used = model, most, 0
-        self.gram = {g: i for i, g in enumerate(model["grams"])}
-        self.grams = np.array(list(model["grams"].values()), np.float32).reshape(len(self.gram), len(model["langs"]))
-        self.table = np.zeros((1024, len(model["langs"]) + 1))  # the scores, and the number of words
-
-    def word(self, w: str) -> np.ndarray:
-        if (known := self.model["words"].get(w)) is not None:
-            return known
-        marked, found = f"^{w}$", []
-        for i in range(len(marked)):
-            for size in range(min(self.model["max_gram"], len(marked) - i), 0, -1):
-                if (gram := self.gram.get(marked[i : i + size])) is not None:
-                    found.append(gram)
-                    break
-        return self.grams[found].mean(0) if found else np.zeros(len(self.model["langs"]), np.float32)
-
-    def __missing__(self, chunk: str) -> int:
-        r, self.used = self.used, self.used + 1
-        if r >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        words = _words(chunk)
-        self.table[r] = 0
-        for w in words:
-            self.table[r, :-1] += self.word(w)
-        self.table[r, -1] = len(words)
-        if len(chunk) <= 64:  # longer ones hardly come again
-            self[chunk] = r
-        return r
+#: Tokens of chunks joined by line ends: words, and the line ends.
+_PARTS = re.compile(r"[^\W\d_]+|\n")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def packed(model: dict) -> dict:
+    """A model as it travels: its words and n-grams as lists, their log frequencies as matrices."""
+    rows = lambda table: np.array(list(table.values()), np.float32).reshape(len(table), len(model["langs"]))
+    return model | {"words": list(model["words"]), "word_rows": rows(model["words"]), "grams": list(model["grams"]), "gram_rows": rows(model["grams"])}
+
+
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+class Scorer:
+    """Scores texts a batch at a time; the scores of up to ``most`` chunks without white space are kept per worker."""
+
+    def __init__(self, model: dict, most: int = 200_000):
+        model = model if "word_rows" in model else packed(model)
+        self.langs, self.max_gram, self.most = model["langs"], model["max_gram"], most
+        self.known = {w: i for i, w in enumerate(model["words"])}
+        self.word_rows = model["word_rows"]
+        # of each size the n-grams' hashes in order, and where their rows are; a row of zeros for no n-gram comes last
+        self.gram_rows = np.concatenate([model["gram_rows"], np.zeros((1, len(self.langs)), np.float32)])
+        self.sizes = {}
+        for size in range(1, self.max_gram + 1):
+            at = np.array([i for i, g in enumerate(model["grams"]) if len(g) == size], np.int64)
+            held = self.hashed(_signs("".join(model["grams"][i] for i in at)), size)[::size]
+            order = np.argsort(held)
+            self.sizes[size] = held[order], at[order]
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.langs) + 1))  # the scores, and the number of words
+
+    @staticmethod
+    def hashed(signs: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the ``size`` signs from each on."""
+        n = max(len(signs) - size + 1, 0)
+        h = signs[:n].copy()
+        for i in range(1, size):
+            h = (h ^ (h >> np.uint64(29))) * _FACTOR + signs[i : i + n]
+        return h
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The score of each word that the model does not know: the mean of the longest known n-grams at its positions; 0 for none."""
+        marked = [f"^{w}$" for w in words]
+        signs, lengths = _signs("".join(marked)), np.fromiter(map(len, marked), np.int64, len(marked))
+        starts, left = np.cumsum(lengths) - lengths, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(signs))
+        found = np.full(len(signs), -1, np.int64)
+        for size in range(self.max_gram, 0, -1):
+            held, at = self.sizes[size]
+            open_ = np.flatnonzero((found < 0) & (left >= size))
+            if len(held) and len(open_):
+                h = self.hashed(signs, size)[open_]
+                place = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                hit = held[place] == h
+                found[open_[hit]] = at[place[hit]]
+        total = np.add.reduceat(self.gram_rows[found].astype(np.float64), starts)  # -1 is the row of zeros
+        return total / np.maximum(np.add.reduceat(found >= 0, starts), 1)[:, None]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds the scores of chunks that the worker has not met."""
+        of, known, at_known, new, at_new, n = [], [], [], [], [], 0
+        for part in _PARTS.findall("\n".join(chunks).lower()):
+            if part == "\n":
+                n += 1
+            elif (i := self.known.get(part)) is not None:
+                known.append(i)
+                at_known.append(n)
+            else:
+                new.append(part)
+                at_new.append(n)
+        add = np.zeros((len(chunks), len(self.langs) + 1))
+        for rows, at in ((self.word_rows[np.array(known, np.int64)], at_known), (self.unseen(new) if new else None, at_new)):
+            if at:
+                for j in range(len(self.langs)):
+                    add[:, j] += np.bincount(at, rows[:, j], len(chunks))
+                add[:, -1] += np.bincount(at, minlength=len(chunks))
+        self.rows.update(zip(chunks, range(len(self.table), len(self.table) + len(chunks)), strict=True))
+        self.table = np.concatenate([self.table, add])
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        asked = [i for i, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
+        if not asked:
+            return out
+        chunks = [texts[i].split() for i in asked]
+        if len(self.rows) >= self.most:
+            self.rows, self.table = {}, self.table[:0]
+        self.learn(list(set().union(*chunks).difference(self.rows)))
+        for i, own in zip(asked, chunks, strict=True):
+            found = self.table[list(map(self.rows.__getitem__, own))].sum(0)
+            n = max(found[-1], 1)
+            mean = found[:-1] / n
+            odds = np.exp((mean - mean.max()) * min(n, 10.0))
+            best = int(np.argmax(odds))
+            out[i] = self.langs[best], float(odds[best] / odds.sum())
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        langs = self.model["langs"]
-        if not langs or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        if self.used >= self.most:
-            self.clear()
-            self.used, self.table = 0, self.table[: self.most]
-        rows = list(map(self.__getitem__, text.split()))
-        found = np.bincount(rows, minlength=self.used) @ self.table[: self.used] if 4 * len(rows) > self.used else self.table[rows].sum(0)
-        n = max(found[-1], 1)
-        mean = found[:-1] / n
-        odds = np.exp((mean - mean.max()) * min(n, 10.0))
-        best = int(np.argmax(odds))
-        return langs[best], float(odds[best] / odds.sum())
+        return self.predict_all([text])[0]
 
 
 _SCORERS: dict = {}
@@ -151,7 +204,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     Null texts and texts without a letter are ``und`` with score 0, as is everything if the model has
     no language; equal scores go to the first language by name; repeated rows and null ids stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))  # bounded by the model's parameters
     key = uuid.uuid4().hex  # a worker lives on between models
     names = keep or [id_col]
     lang, score = (clear_name(c, names) for c in (("_lang_pred", "_score") if keep else ("lang_pred", "score")))
@@ -163,8 +216,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
-        for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in (part for whole in batches for part in pa.Table.from_batches([whole]).to_batches(max_chunksize=200)):
+            found = scorer.predict_all(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
