@@ -33,10 +33,10 @@ def _byte_signs() -> dict[int, str]:
 class ChunkIds(dict):
     """Chunk without its leading space -> ids of " " + chunk as little-endian uint32 bytes.
 
-    Holds at most ``most`` chunks; when full it starts anew, so memory stays bounded.
+    Holds at most ``most`` chunks, and half as many pre-tokens; when full it starts anew, so memory stays bounded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
@@ -53,7 +53,7 @@ class ChunkIds(dict):
     def part(self, text: str) -> bytes:
         """The ids of one pre-token."""
         if (out := self.parts.get(text)) is None:
-            if len(self.parts) >= self.most:
+            if len(self.parts) >= self.most // 2:
                 self.parts.clear()
             if self.model:
                 out = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]).tobytes()
