@@ -154,8 +154,8 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Edited text: the last quarter of the code points replaced by as many from the start of the next
     text. Returns id, n_chars, edited_text, fingerprint, edited_fingerprint (arrays), near_edited,
     near_next. Null texts count as empty; equal texts have equal fingerprints; a short text whose
-    edit is empty is its own edited text; see ``with_next`` for ids. Of the edited text only the part
-    that the kept one does not settle is hashed. Other columns are not read; an empty table gives an empty result.
+    edit is empty is its own edited text; see ``with_next`` for ids. Of the edited text only the seam
+    is hashed: the windows within either text are known. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # the next text's hashes come over with its text, so each text is hashed once
@@ -163,10 +163,14 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.length("_text")
     cut = F.floor(n / 4).cast("int")
     led = led.withColumn("edited_text", F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.col("_next"), F.lit(1), cut)))
-    # windows that begin before this position lie in the kept part, with at least one window after it
-    start = F.greatest(F.lit(0), n - cut - (k + window - 1))
-    rest = winnow(F.substring(F.col("edited_text"), start + 1, F.length("edited_text")), k, window, start)
-    prints = led.withColumn("edited_fingerprint", F.array_distinct(F.concat(before(F.col("_hashed"), start, window), rest)))
+    reach, kept, taken = k + window - 1, n - cut, F.least(cut, F.length("_next"))
+    # windows over both texts begin here at the earliest; where nothing is taken there is none, but a short text has a single window
+    start = F.greatest(F.lit(0), kept - reach + 1)
+    seam = F.when((taken > 0) | (kept < reach), F.substring(F.col("edited_text"), start + 1, kept - 1 + reach - start)).otherwise("")
+    # what the next text's windows within the taken part have chosen stands further on
+    moved = let(kept, lambda far: F.transform(before(F.col("next__hashed"), taken - reach + 1, window), lambda x: x - far))
+    parts = F.concat(before(F.col("_hashed"), kept - reach + 1, window), winnow(seam, k, window, start), moved)
+    prints = led.withColumn("edited_fingerprint", F.array_distinct(parts))
     near = lambda a, b: let(hashes(F.col(a)), lambda x: let(hashes(F.col(b)), lambda y: likeness(x, y)))
     return prints.select(
         F.col(id_col), n.cast("long").alias("n_chars"), "edited_text", F.col("_hashed").alias("fingerprint"), "edited_fingerprint", near("_hashed", "edited_fingerprint").alias("near_edited"), near("_hashed", "next__hashed").alias("near_next")
