@@ -127,14 +127,14 @@ def json_object(c: Column, schema: str) -> Column:
 
 def entity_names(c: Column, most: int = 5, most_chars: int = 30) -> Column:
     """Names from a JSON list in an answer: normalized, cut, distinct, the first ``most``; [] for none. Only strings count."""
-    # as text, strings keep their quotes, so that numbers and objects are told apart
-    items = F.coalesce(F.from_json(F.to_json(_recovered(c, "array<variant>", "[")), "array<string>"), F.array().cast("array<string>"))
-    names = F.filter(F.transform(items, lambda t: F.substring(normalized_name(t), 1, most_chars)), lambda t: t.isNotNull() & (t != ""))
-    return F.slice(F.array_distinct(names), 1, most)
+    items = F.filter(_recovered(c, "array<variant>", "["), lambda v: F.schema_of_variant(v) == "STRING")
+    names = F.transform(items, lambda v: F.substring(normalized_name(F.variant_get(v, "$", "string")), 1, most_chars))
+    kept = F.array_distinct(F.filter(names, lambda t: t.isNotNull() & (t != "")))
+    return F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, most)
 
 
 def chinese_count(n: Column) -> Column:
-    """A number of signs as text: below 10,000 as it is, else in ten thousands with a digit after the point."""
+    """A number of signs as text: below 10,000 as it is, else in ten thousands with a digit after the point, halves up."""
     return F.when(n >= 10_000, F.format_string("%.1f 万字", n / 10_000)).otherwise(F.concat(n.cast("string"), F.lit(" 字")))
 
 

@@ -5,6 +5,7 @@ Entities and relations are DataFrames; a hop is two semi joins, so no graph engi
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,10 +126,9 @@ def with_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def of_document(relations: DataFrame, mentions: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:
-    """A document's part of the graph: names and relations (source, target, type) that ``mentions`` (and doc_id) has of it."""
-    own = mentions.where(F.col("doc_id") == doc_id).select("source", "target", "type").distinct()
-    kept = relations.join(own, ["source", "target", "type"], "left_semi")
-    return kept.select(F.explode(F.array("source", "target")).alias("name")).distinct(), kept
+    """A document's part of the graph: the names that ``mentions`` (source, target, doc_id) has of it, and the relations among them."""
+    names = mentions.where(F.col("doc_id") == doc_id).select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    return names, induced(relations, names)
 
 
 def context_lines(entities: DataFrame, relations: DataFrame, key: str, most_entities: int = 30, most_relations: int = 40, most_chars: int = 60) -> DataFrame:
@@ -170,7 +170,7 @@ def read_graph(spark: SparkSession, path: str, entities: str, relations: str) ->
     """A saved graph by the schemas of its tables; empty tables where one is absent or damaged."""
     try:
         found = tuple(spark.read.parquet(f"{path}/{part}") for part in ("entities", "relations"))
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], entities), spark.createDataFrame([], relations)
     return found
 

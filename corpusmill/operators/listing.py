@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a status filter of the document list stands for.
@@ -54,3 +54,19 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 def with_names(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """Adds ``name`` from a dimension table, or the key itself where the dimension has none (a deleted row keeps its id)."""
     return rows.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(F.col(name), F.col(key).cast("string")))
+
+
+def free_names(fresh: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
+    """``fresh`` (id, name) with names that neither ``held`` (name) nor another row has: the name, else the first free of name(1), name(2) and so on, in order of ids."""
+    stem, suffix = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    rows = fresh.withColumns({"_stem": stem, "_suffix": suffix})
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_stem", "_suffix").orderBy(id_col)))
+    base = F.regexp_extract("_held", r"^(.*?)(?:\((\d+)\))?$", 1)
+    number = F.coalesce(F.regexp_extract("_held", r"\((\d+)\)$", 1).try_cast("long"), F.lit(0))
+    taken = held.select(stem.alias("_held"), suffix.alias("_suffix")).select(base.alias("_stem"), "_suffix", number.cast("long").alias("_k")).distinct()
+    used = taken.groupBy("_stem", "_suffix").agg(F.count("*").alias("_used"))
+    room = rows.groupBy("_stem", "_suffix").agg(F.max("_n").alias("_most")).join(used, ["_stem", "_suffix"], "left")
+    numbers = room.select("_stem", "_suffix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") + F.coalesce("_used", F.lit(0)))).alias("_k"))
+    free = numbers.join(taken, ["_stem", "_suffix", "_k"], "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("_stem", "_suffix").orderBy("_k")))
+    named = F.concat("_stem", F.when(F.col("_k") > 0, F.concat(F.lit("("), F.col("_k").cast("string"), F.lit(")"))).otherwise(""), "_suffix")
+    return rows.join(free, ["_stem", "_suffix", "_n"]).withColumn("name", named).drop("_stem", "_suffix", "_n", "_k")

@@ -49,21 +49,33 @@ def sentence_chunks(spark, sf_dir):
     return C.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", partial(C.sentence_spans, size=500))
 
 
-@query()
+LINE_PARTS_SQL = """(SELECT doc_id, i, p, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 - length(p) AS a FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}))"""
+REGEX_SQL = "(SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, p AS text, a::INTEGER AS char_start, (a + length(p))::INTEGER AS char_end FROM " + LINE_PARTS_SQL + r" WHERE regexp_matches(p, '\S'))"
+
+
+@query(f"SELECT * FROM {REGEX_SQL.format(source='documents')}")
 def regex_chunks(spark, sf_dir):
+    """Matches of a pattern and what lies between them: here the lines, since line ends are blank."""
     return C.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", partial(C.regex_spans, pattern=r"\n+"))
 
 
-@query()
+SECTION_STARTS_SQL = f"""(SELECT doc_id, 0 AS a FROM {MARKED_SQL} WHERE text <> '' UNION SELECT doc_id, a FROM {LINE_PARTS_SQL.format(source=MARKED_SQL)} WHERE regexp_matches(p, '^#{{1,2}}\\s+\\S'))"""
+
+
+@query(f"""WITH parents AS (SELECT doc_id, a, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS parent_chunk_index FROM {SECTION_STARTS_SQL})
+SELECT c.doc_id, chunk_index, char_start, char_end, parent_chunk_index FROM {REGEX_SQL.format(source=MARKED_SQL)} c ASOF JOIN parents p ON c.doc_id = p.doc_id AND c.char_start >= p.a""")
 def parent_chunks(spark, sf_dir):
+    """Lines as children of the sections they stand in."""
     m = marked(spark, sf_dir)
-    children = C.chunked(m, "doc_id", "text", partial(C.recursive_spans, size=300))
+    children = C.chunked(m, "doc_id", "text", partial(C.regex_spans, pattern=r"\n+"))
     return C.with_parents(children, C.title_sections(m, "doc_id", "text"), "doc_id").select("doc_id", "chunk_index", "char_start", "char_end", "parent_chunk_index")
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, i, p, length(regexp_extract(p, '^(#{{1,6}})\\s+\\S', 1)) AS d, trim(regexp_replace(p, '^#+\\s*', '')) AS t FROM {LINE_PARTS_SQL.format(source=MARKED_SQL)}),
+s AS (SELECT doc_id, i, {", ".join(f"max(CASE WHEN d = {k} THEN i END) OVER w AS i{k}, last_value(CASE WHEN d = {k} THEN t END IGNORE NULLS) OVER w AS t{k}" for k in (1, 2, 3))} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, (i - 1)::BIGINT AS n, concat_ws(' > ', t1, CASE WHEN i2 > coalesce(i1, 0) THEN t2 END, CASE WHEN i3 > greatest(coalesce(i1, 0), coalesce(i2, 0)) THEN t3 END) AS path FROM s""")
 def heading_paths(spark, sf_dir):
-    return C.heading_paths(marked(spark, sf_dir), "doc_id", "text")
+    return C.heading_paths(marked(spark, sf_dir), "doc_id", "text").withColumn("n", F.col("n").cast("long"))
 
 
 @query("""WITH r AS (SELECT doc_id % 40 AS g, doc_id AS a, doc_id + n_chars % 97 AS b FROM documents),
@@ -74,14 +86,16 @@ def merged_ranges(spark, sf_dir):
     return C.merged_ranges(ranges, "g")
 
 
-@query("SELECT doc_id, round(len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text), 4) AS density, CASE WHEN len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text) >= 20 THEN 'high' WHEN len(regexp_extract_all(lower(text), '\\b(the|that|der|les|que)\\b')) * 1000.0 / length(text) >= 5 THEN 'mid' ELSE 'low' END AS band FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(r"""WITH c AS (SELECT doc_id, length(text) AS n, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), lambda w: w IN ('the', 'that', 'der', 'les', 'que'))) AS k FROM documents),
+d AS (SELECT doc_id, CASE WHEN n > 0 THEN k * 1000.0 / n ELSE 0.0 END AS density FROM c)
+SELECT doc_id, round(density, 4) AS density, CASE WHEN density >= 5 THEN 'high' WHEN density >= 2 THEN 'mid' ELSE 'low' END AS band FROM d""")
 def reference_density(spark, sf_dir):
     """Reference words per 1000 characters, of every text; a null or empty one has none. Letters, marks and digits of any script are inside words."""
     d = table(spark, sf_dir, "documents")
     inside = r"[\p{L}\p{M}\p{N}_]"
     count = F.regexp_count(F.lower("text"), F.lit(f"(?<!{inside})(the|that|der|les|que)(?!{inside})"))
     density = F.when(F.length("text") > 0, count * 1000.0 / F.length("text")).otherwise(0.0)
-    return d.select("doc_id", F.round(density, 4).alias("density"), F.when(density >= 20, "high").when(density >= 5, "mid").otherwise("low").alias("band"))
+    return d.select("doc_id", F.round(density, 4).alias("density"), F.when(density >= 5, "high").when(density >= 2, "mid").otherwise("low").alias("band"))
 
 
 @query("SELECT doc_id, list_reduce(list_prepend(0, list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^\\s*(\\d+(\\.\\d+)*[.)]?\\s+\\S|(Chapter|Section|Part)\\s+\\d+)') THEN 1 ELSE 0 END)), lambda a, b: a + b)::BIGINT AS headings FROM documents")

@@ -28,11 +28,11 @@ def rerank_fallback(spark, sf_dir):
     return X.usable_rerank(h, scores)
 
 
-@query("SELECT conv_id AS query_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'parent ' || role ELSE role END, '|' ORDER BY turn) AS contexts FROM conversations WHERE turn < 5 GROUP BY conv_id")
+@query("SELECT conv_id AS query_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'parent ' || text ELSE text END, '|' ORDER BY turn) AS contexts FROM conversations WHERE turn < 5 GROUP BY conv_id")
 def context_texts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("chunk_id", F.concat_ws("-", "conv_id", "turn"))
     ranked = c.select(F.col("conv_id").alias("query_id"), "chunk_id", (F.col("turn") + 1).alias("rank"))
-    chunks = c.select("chunk_id", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("parent "), "role")).alias("parent_text"), F.col("role").alias("text"))
+    chunks = c.select("chunk_id", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("parent "), "text")).alias("parent_text"), "text")
     return X.contexts(ranked, chunks, 5).select("query_id", F.array_join("contexts", "|").alias("contexts"))
 
 
@@ -96,7 +96,7 @@ def overlap_segments(spark, sf_dir):
     return X.segments(r, "g")
 
 
-@query("SELECT conv_id, string_agg('**' || role || '** ' || substring(text, 1, 500), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('**' || role || '** ' || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def session_export(spark, sf_dir):
     """Conversations as Markdown, messages whole; a conversation's own length bounds its row."""
     line = F.concat(F.lit("**"), "role", F.lit("** "), "text")
@@ -127,7 +127,9 @@ def after_restore(spark, sf_dir):
     return d.join(tombstones, "doc_id", "left_anti")
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4))) AS a, list_distinct(list_transform(range(1, length(before) - 2), lambda i: substring(before, i, 4))) AS b FROM p WHERE role = 'assistant' AND before IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END, 6) AS share FROM w""")
 def answer_overlap(spark, sf_dir):
     """How much of each answer stands in the question before it."""
     talk = Window.partitionBy("conv_id").orderBy("turn")
@@ -135,10 +137,11 @@ def answer_overlap(spark, sf_dir):
     return pairs.select("conv_id", "turn", F.round(X.shared_share(F.col("text"), F.col("before")), 6).alias("share"))
 
 
-@query()
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href="/([^"]+)">', 1), lambda x: 'img/' || x))), ' ') AS refs,
+md5(regexp_replace(html, '<a href="/([^"]+)">([^<]*)</a>', '![\2](/files/\1)', 'g')) AS rewritten FROM pages""")
 def page_images(spark, sf_dir):
-    """Image targets of pages as Markdown, rewritten to stored files."""
+    """Image targets of pages, their links taken as images in Markdown, and the pages with targets of stored files."""
     from ..functions.text import image_refs
 
-    md = F.concat(F.lit("![a](img/"), F.col("page_id").cast("string"), F.lit(".png) ![b](https://x.example/i.png)"))
-    return table(spark, sf_dir, "pages").select("page_id", image_refs(md).alias("refs"), X.rewritten_images(md, "/files/").alias("rewritten"))
+    md = F.regexp_replace("html", r'<a href="/([^"]+)">([^<]*)</a>', "![$2](img/$1)")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(image_refs(md)), " ").alias("refs"), F.md5(X.rewritten_images(md, "/files/")).alias("rewritten"))

@@ -22,8 +22,13 @@ def entity_mentions(spark, sf_dir):
     )
 
 
-@query(f"""SELECT 'e' || row_number() OVER (ORDER BY first_seen, name, type) AS id, name, type, n AS "count", first_seen, description FROM (
-SELECT name, type, count(*) AS n, min(seq) AS first_seen, arg_min(description, seq) AS description FROM (SELECT name, type, doc_id, chunk_index, min(seq) AS seq, arg_min(description, seq) AS description FROM {ENTITY_SQL} GROUP BY ALL) GROUP BY name, type)""")
+#: Descriptions in order of first sight, each joined to those before unless they have it, cut at 200 signs.
+FOLD_SQL = "list_reduce(list_prepend('', list_transform(list_sort(list({{'seq': seq, 'd': description}})), lambda x: x.d)), lambda a, x: substring(CASE WHEN a = '' THEN x WHEN contains(a, x) THEN a ELSE a || '；' || x END, 1, 200))"
+
+
+@query(f"""WITH named AS (SELECT name, type, description, min(seq) AS seq FROM {ENTITY_SQL} GROUP BY ALL), told AS (SELECT name, type, {FOLD_SQL.format()} AS description FROM named GROUP BY name, type),
+once AS (SELECT name, type, doc_id, chunk_index, min(seq) AS seq FROM {ENTITY_SQL} GROUP BY ALL), merged AS (SELECT name, type, count(*) AS n, min(seq) AS first_seen FROM once GROUP BY name, type)
+SELECT 'e' || row_number() OVER (ORDER BY first_seen, name, type) AS id, name, type, n AS "count", first_seen, description FROM merged JOIN told USING (name, type)""")
 def graph_entities(spark, sf_dir):
     return G.merged_entities(entity_mentions(spark, sf_dir)).select("id", "name", "type", "count", "first_seen", "description")
 
@@ -49,14 +54,14 @@ def graph_matches(spark, sf_dir):
     return G.matched(entities, names)
 
 
-EDGES_SQL = "(SELECT DISTINCT p_partkey AS source, p_partkey * 7 % 1999 AS target FROM part WHERE p_size % 3 = 0 AND p_partkey <> p_partkey * 7 % 1999)"
+EDGES_SQL = "(SELECT DISTINCT p_partkey AS source, p_partkey * 7 % 1999 AS target FROM part WHERE p_partkey <> p_partkey * 7 % 1999)"
 
 
 @query(f"""WITH e AS (SELECT source, target FROM {EDGES_SQL} UNION SELECT target, source FROM {EDGES_SQL}), h0 AS (SELECT unnest(generate_series(1, 20)) AS name), h1 AS (SELECT name FROM h0 UNION SELECT target FROM e WHERE source IN (SELECT name FROM h0)), h2 AS (SELECT name FROM h1 UNION SELECT target FROM e WHERE source IN (SELECT name FROM h1))
 SELECT source, target FROM {EDGES_SQL} WHERE source IN (SELECT name FROM h2) AND target IN (SELECT name FROM h2)""")
 def graph_neighbourhood(spark, sf_dir):
     """Two hops from twenty nodes, and the relations among what is reached."""
-    edges = table(spark, sf_dir, "part").where("p_size % 3 = 0 AND p_partkey <> p_partkey * 7 % 1999").select(F.col("p_partkey").alias("source"), F.expr("p_partkey * 7 % 1999").alias("target")).distinct()
+    edges = table(spark, sf_dir, "part").where("p_partkey <> p_partkey * 7 % 1999").select(F.col("p_partkey").alias("source"), F.expr("p_partkey * 7 % 1999").alias("target")).distinct()
     return G.induced(edges, G.neighbours(edges, spark.range(1, 21).select(F.col("id").alias("name")), hops=2))
 
 
@@ -103,3 +108,38 @@ def evaluation_queue(spark, sf_dir):
 def state_transitions(spark, sf_dir):
     """Which changes of state are in the table of legal ones."""
     return S.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view")]).select("user_id", "event_id", "state", "before", "legal")
+
+
+@query(f"""WITH first AS (SELECT name, type, row_number() OVER (PARTITION BY name ORDER BY seq, type) AS r FROM (SELECT name, type, min(seq) AS seq FROM {ENTITY_SQL} GROUP BY ALL)), t AS (SELECT name, type FROM first WHERE r = 1)
+SELECT r.source, r.target, r.type, a.type AS source_type, b.type AS target_type FROM (SELECT DISTINCT 'Part ' || (l_partkey % 500) AS source, 'Part ' || (l_suppkey % 700) AS target, l_returnflag AS type FROM lineitem) r LEFT JOIN t a ON a.name = r.source LEFT JOIN t b ON b.name = r.target""")
+def relation_ends(spark, sf_dir):
+    """Relations whose ends are found by name: of a name's entities the one seen first, none for unknown names."""
+    found = entity_mentions(spark, sf_dir).groupBy(F.trim("name").alias("name"), "type").agg(F.min("seq").alias("first_seen")).withColumn("id", F.col("type"))
+    end = lambda c, k: F.concat(F.lit("Part "), (F.col(c) % k).cast("string"))
+    told = table(spark, sf_dir, "lineitem").select(end("l_partkey", 500).alias("source"), end("l_suppkey", 700).alias("target"), F.col("l_returnflag").alias("type")).distinct()
+    return G.with_ids(told, found).select("source", "target", "type", F.col("source_id").alias("source_type"), F.col("target_id").alias("target_type"))
+
+
+@query(f"WITH n AS (SELECT source AS name FROM {RELATION_SQL} WHERE doc_id = 7 UNION SELECT target FROM {RELATION_SQL} WHERE doc_id = 7) SELECT source, target, type, weight FROM {MERGED_SQL} WHERE source IN (SELECT name FROM n) AND target IN (SELECT name FROM n)")
+def graph_of_document(spark, sf_dir):
+    """One document's names and the relations among them."""
+    node = lambda c: F.concat(F.lit("n"), (F.col(c) % 60).cast("string"))
+    m = table(spark, sf_dir, "lineitem").select(node("l_partkey").alias("source"), node("l_suppkey").alias("target"), (F.col("l_orderkey") % 300).alias("doc_id"))
+    return G.of_document(relations(spark, sf_dir), m, 7)[1]
+
+
+@query("""SELECT d.doc_id, CASE WHEN d.doc_id % 11 <> 0 THEN CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 2 END END::INTEGER AS entities, CASE WHEN d.doc_id % 11 <> 0 THEN CASE WHEN d.doc_id % 5 = 0 THEN 0 ELSE 1 END END::INTEGER AS relations,
+CASE WHEN d.doc_id % 11 <> 0 THEN CASE WHEN d.doc_id % 5 = 0 THEN lang ELSE 'Doc' || ' ' || d.doc_id || ',' || lang END END AS names FROM documents d""")
+def extracted_graph(spark, sf_dir):
+    """Answers of a model, some without an object, checked: unknown types, repeated names and loose ends go."""
+    doc = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    entity = lambda name, kind: F.struct(name.alias("name"), kind.alias("type"), F.lit("of {it}").alias("description"))
+    relation = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
+    told = F.struct(
+        F.array(entity(doc, F.when(F.col("doc_id") % 5 == 0, "other").otherwise("技术")), entity(F.col("lang"), F.lit("概念")), entity(F.col("lang"), F.lit("技术"))).alias("entities"),
+        F.array(relation(doc, F.col("lang"), "属于"), relation(F.col("lang"), F.col("lang"), "属于"), relation(doc, F.lit("nobody"), "属于"), relation(doc, F.col("lang"), "likes")).alias("relations"),
+    )
+    answer = F.when(F.col("doc_id") % 11 == 0, F.lit("I found {nothing}")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), F.to_json(told), F.lit("\n```"))).otherwise(F.concat(F.lit("So: "), F.to_json(told), F.lit(" {end}")))
+    found = G.extracted(table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer")), ["doc_id"], "answer")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return found.select("doc_id", size("entities").alias("entities"), size("relations").alias("relations"), F.array_join("entities.name", ",").alias("names"))

@@ -93,7 +93,7 @@ LEFT JOIN (SELECT DISTINCT source AS kb_id, 'Base ' || source AS kb_name, CASE W
 def docs_with_bases(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", "kb_id")
     bases = d.where("kb_id <> 'src3'").select("kb_id").distinct().select("kb_id", F.concat(F.lit("Base "), F.col("kb_id")).alias("kb_name"), F.when(F.col("kb_id") < "src15", "north").otherwise("south").alias("department"))
-    return L.with_names(d, bases, "kb_id", "kb_name").join(bases.select("kb_id", "department"), "kb_id", "left").select("doc_id", "kb_name", F.coalesce("department", F.lit("")).alias("department"))
+    return d.join(bases, "kb_id", "left").select("doc_id", F.coalesce("kb_name", "kb_id").alias("kb_name"), F.coalesce("department", F.lit("")).alias("department"))
 
 
 @query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id IN (1, 2, 3, 5, 8)")
@@ -126,12 +126,22 @@ def docs_grouped(spark, sf_dir):
     return d.groupBy("department", "kb_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@query("""SELECT doc_id, CASE WHEN n = 1 THEN name ELSE replace(name, '.md', '(' || (n - 1) || ').md') END AS file_name FROM (
-SELECT doc_id, source || '-' || lang || '.md' AS name, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""")
+@query("""WITH d AS (SELECT doc_id, source || '-' || lang AS stem, doc_id % 3 = 0 AS held, (doc_id // 3) % 4 AS k FROM documents), taken AS (SELECT DISTINCT stem, k FROM d WHERE held),
+fresh AS (SELECT doc_id, stem, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS n FROM d WHERE NOT held), most AS (SELECT stem, max(n) + 4 AS m FROM fresh GROUP BY stem),
+free AS (SELECT f.stem, f.k, row_number() OVER (PARTITION BY f.stem ORDER BY f.k) AS n FROM (SELECT stem, unnest(range(0, m)) AS k FROM most) f LEFT JOIN taken t ON t.stem = f.stem AND t.k = f.k WHERE t.k IS NULL)
+SELECT doc_id, fresh.stem || CASE WHEN free.k > 0 THEN '(' || free.k || ')' ELSE '' END || '.md' AS file_name FROM fresh JOIN free USING (stem, n)""")
 def file_names(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("stem"))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("doc_id"))
-    return d.withColumn("n", n).select("doc_id", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("("), (F.col("n") - 1).cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file_name"))
+    """New documents get names that neither their base nor another new one holds: a(1).md, where that is held a(2).md, and so on."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("stem"), F.expr("(doc_id div 3) % 4").alias("k"))
+    held = d.where("doc_id % 3 = 0").select(F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("("), F.col("k").cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("name"))
+    return L.free_names(d.where("doc_id % 3 <> 0").select("doc_id", F.concat("stem", F.lit(".md")).alias("name")), held, "doc_id").select("doc_id", F.col("name").alias("file_name"))
+
+
+@query(f"SELECT kb_id, name, count(*) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, kb_id, lang || '-' || (n_chars % 50) || '.md' AS name FROM {DOCS_SQL} WHERE NOT deleted) GROUP BY kb_id, name HAVING count(*) > 1")
+def same_names(spark, sf_dir):
+    """Documents of a base that bear the same name."""
+    d = documents(spark, sf_dir).where("NOT deleted").select("doc_id", "kb_id", F.concat("lang", F.lit("-"), (F.col("n_chars") % 50).cast("string"), F.lit(".md")).alias("name"))
+    return d.groupBy("kb_id", "name").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
 @query("SELECT text_key, count(*) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, md5(text) AS text_key FROM documents) GROUP BY text_key HAVING count(*) > 1")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import sign_histogram
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import query
@@ -63,16 +62,45 @@ def vector_search(spark, sf_dir):
     return R.vector_search(v, queries, "vec_id", "embedding", 10)
 
 
-def _hits(spark, sf_dir):
-    """A vector ranking of documents by the offline embedding, for the stated query set."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", sign_histogram(F.col("text")).alias("vector"))
-    queries = asked(spark, sf_dir).select(F.col("item_id").alias("query_id"), sign_histogram(F.col("text")).alias("vector"))
-    return R.vector_search(docs, queries, "doc_id", "vector", 20)
+def stored(spark, sf_dir):
+    """Documents as chunks with their stored vectors; some are in the trash, some do not say."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    active = F.when(F.col("doc_id") % 7 == 3, False).when(F.col("doc_id") % 5 != 0, True)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", active.alias("doc_active")).join(v, "chunk_id")
 
 
-@query()
+def searching(spark, sf_dir):
+    """The stated query set: every stored document whose id is divisible by 50, its first 300 signs and its vector."""
+    return stored(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 300).alias("text"), F.col("embedding").alias("vector"))
+
+
+#: Both channels over the active documents; ``{wide}`` candidates each, fused.
+RETRIEVE_SQL = f"""WITH stored AS (SELECT doc_id, text, embedding::DOUBLE[] AS e, coalesce(CASE WHEN doc_id % 7 = 3 THEN false WHEN doc_id % 5 <> 0 THEN true END, true) AS live FROM documents JOIN embeddings ON vec_id = doc_id),
+live AS (SELECT * FROM stored WHERE live), q AS (SELECT doc_id AS query_id, substring(text, 1, 300) AS text, e FROM stored WHERE doc_id % 50 = 0),
+tokens AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM live), tf AS (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id), lens AS (SELECT doc_id, count(*) AS len FROM tokens GROUP BY doc_id),
+asked AS (SELECT DISTINCT query_id, unnest({terms_sql('text')}) AS term FROM q), corpus AS (SELECT count(*) AS n, avg(len({terms_sql('text')})) AS avgdl FROM live), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), corpus GROUP BY query_id, doc_id),
+sims AS (SELECT query_id, doc_id AS chunk_id, round(list_sum(list_transform(list_zip(live.e, q.e), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(live.e, lambda x: x * x))) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))), 6) AS score FROM live, q),
+keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= {{wide}}),
+vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= {{wide}}),
+fused AS (SELECT query_id, chunk_id, max(v) AS vector_score, max(k) AS keyword_score, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank, score AS v, NULL AS k FROM vector UNION ALL SELECT query_id, chunk_id, rank, NULL, score FROM keyword) GROUP BY ALL),
+seen AS (SELECT *, max(keyword_score) OVER (PARTITION BY query_id) AS best FROM fused),
+ranked AS (SELECT query_id, chunk_id, vector_score, keyword_score, round(CASE WHEN best IS NULL THEN vector_score ELSE rrf END, 6) AS score FROM seen WHERE coalesce(vector_score, keyword_score / best) >= 0.1),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ranked QUALIFY rank <= {{wide}})"""
+
+
+@query(RETRIEVE_SQL.replace("{wide}", "10") + " SELECT query_id, chunk_id, vector_score, keyword_score, score, rank FROM hits")
 def hybrid_search(spark, sf_dir):
-    return R.fuse(_hits(spark, sf_dir), keyword_hits(spark, sf_dir), top_k=10)
+    """Keyword and vector search of stored vectors, fused."""
+    return R.retrieve(stored(spark, sf_dir), searching(spark, sf_dir), top_k=10, min_score=0.1, dim=64).drop("rerank_score")
+
+
+@query(RETRIEVE_SQL.replace("{wide}", "20") + ", told AS (SELECT *, CASE WHEN chunk_id % 3 <> 0 THEN (chunk_id % 17) / 17.0 END AS rerank_score FROM hits), last AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS r FROM told) SELECT query_id, chunk_id, vector_score, keyword_score, score, rerank_score, r AS rank FROM last WHERE r <= 5")
+def retrieved(spark, sf_dir):
+    """The whole search: active documents, both channels with more candidates than asked, threshold, a reranker, the best five."""
+    model = lambda hits: hits.where("chunk_id % 3 <> 0").select("query_id", "chunk_id", (F.col("chunk_id") % 17 / 17.0).alias("rerank_score"))
+    found = R.retrieve(stored(spark, sf_dir), searching(spark, sf_dir), top_k=5, min_score=0.1, rerank_top=20, reranker=model)
+    return found.select("query_id", "chunk_id", "vector_score", "keyword_score", "score", "rerank_score", "rank")
 
 
 FUSED_SQL = f"""WITH {BM25_SQL},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -72,3 +72,16 @@ def profile_memory(rounds: DataFrame) -> DataFrame:
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "content": [m[0] for m in memory], "confidence": [m[1] for m in memory]})
 
     return rounds.where("content IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id").applyInPandas(fold, "user_id string, content string, confidence double")
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """New lines of log files as they come, parsed: ts, level, message. The checkpoint is the cursor."""
+    from ..operators.stats import parsed_log
+
+    return parsed_log(spark.readStream.schema("value string").text(path))
+
+
+def write_daily(lines: DataFrame, path: str, checkpoint: str):
+    """A stream of log lines (ts) as Parquet, a folder a day; what is older than is kept goes folder by folder."""
+    dated = lines.withColumn("day", F.to_date("ts"))
+    return dated.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

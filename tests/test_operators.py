@@ -82,7 +82,7 @@ def test_empty_lists_filter_everything(spark):
 def test_graph_and_metrics(spark):
     found = spark.createDataFrame([("A", "t", "d1", 1, 0, 5), ("B", "t", "d2", 1, 0, 2), ("A", "t", "d3", 1, 0, 9), ("A", "t", "d4", 2, 0, 7)], "name string, type string, description string, doc_id int, chunk_index int, seq long")
     got = {r.name: (r.id, r["count"], r.description) for r in G.merged_entities(found).collect()}
-    assert got == {"B": ("e1", 1, "d2"), "A": ("e2", 2, "d1")}
+    assert got == {"B": ("e1", 1, "d2"), "A": ("e2", 2, "d1；d4；d3")}
     v = spark.createDataFrame([([1, 0, 1],), ([0, 0],), ([],)], "v array<int>").select(E.average_precision(F.col("v")), E.share_true(F.col("v"))).collect()
     assert [tuple(None if x is None else round(x, 4) for x in r) for r in v] == [(0.8333, 0.6667), (0.0, 0.0), (None, None)]
     assert E.resolved(["faithfulness", "x", "faithfulness", "answer_relevancy"], embeddings=False) == (["faithfulness"], ["x"])
