@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,17 +73,6 @@ def rewritten_images(text: Column, prefix: str) -> Column:
     return F.regexp_replace(text, r"(!\[[^\]]*\]\()(?!https?:|data:|/)(?:[^)\s]*/)?([^)/\s]+)", rf"$1{prefix}$2")
 
 
-def aligned_spans(text: str, pieces: list[str]) -> list[tuple[int, int] | None]:
-    """Where each piece of a model's answer stands in the text, one after the other: white space may differ; None if it is not found."""
-    out, at = [], 0
-    for piece in pieces:
-        words = piece.split()
-        m = re.compile(r"\s+".join(map(re.escape, words))).search(text, at) if words else None
-        out.append(m.span() if m else None)
-        at = m.end() if m else at
-    return out
-
-
 def shared_share(answer: Column, source: Column, width: int = 4) -> Column:
     """The share of an answer's distinct windows of ``width`` signs that the source has too; 0 for shorter answers."""
     windows = lambda c: F.when(F.length(c) >= width, F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substring(c, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
@@ -98,3 +85,15 @@ def newest_sessions(turns: DataFrame, key: str, time: str, most: int) -> DataFra
     begun = turns.groupBy(key, "session").agg(F.min(time).alias("began"))
     order = Window.partitionBy(key).orderBy(F.desc("began"), F.desc("session"))
     return begun.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+
+
+def document_again(mentions: DataFrame, doc_id, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph's mentions once a document's are made anew, and a row with doc_id, chunks, read and status.
+
+    ``answers``: chunk_index, entities, relations as ``graph.extracted`` gives them. The old mentions go in any
+    case; the document has failed if it has chunks and none of their answers could be read.
+    """
+    own = answers.select(F.explode("relations").alias("r"), "chunk_index").select("r.source", "r.target", "r.type", F.lit(doc_id).cast(mentions.schema["doc_id"].dataType).alias("doc_id"), "chunk_index")
+    fresh = mentions.where(F.col("doc_id") != doc_id).select("source", "target", "type", "doc_id", "chunk_index").unionByName(own)
+    read = answers.agg(F.count("*").alias("chunks"), F.count("entities").alias("read"))
+    return fresh, read.select(F.lit(doc_id).alias("doc_id"), "chunks", "read", F.when((F.col("chunks") > 0) & (F.col("read") == 0), "failed").otherwise("done").alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chinese_count, is_numbered_heading
+from .alignment import image_urls
 from .chunking import pieces_of, question_statistics
 from .structure import headings
 
@@ -80,3 +81,17 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, threshold: int = 20_00
     method = F.when(F.col("valid"), "qa").when(structured, "parent_child").otherwise("naive")
     over = F.col("chars") > threshold
     return rows.select(id_col, "chars", chinese_count(F.col("chars")).alias("label"), over.alias("over"), "headings", "numbered", "pairs", "segments", F.col("valid").alias("is_qa"), method.alias("method"), ((method == "naive") & ~over).alias("with_context"))
+
+
+def external_results(answers: DataFrame, sources: DataFrame, most: int = 4_000, most_source: int = 2_000) -> DataFrame:
+    """What a caller from outside gets: query_id, answer (cut), sources (array of document_name, text, cut, in order of rank), images.
+
+    ``answers``: query_id, answer; ``sources``: query_id, rank, document_name, text, parent_text. Images are the
+    addresses in the whole texts of the sources, each once. Answers without sources have empty arrays.
+    """
+    whole = F.coalesce(F.nullif("parent_text", F.lit("")), "text")
+    listed = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "document_name", F.substring(whole, 1, most_source).alias("text"), image_urls(whole).alias("images")))).alias("s"))
+    joined = answers.join(listed, "query_id", "left")
+    cut = F.coalesce(F.transform("s", lambda s: F.struct(s["document_name"].alias("document_name"), s["text"].alias("text"))), F.array().cast("array<struct<document_name:string,text:string>>"))
+    images = F.coalesce(F.array_distinct(F.flatten(F.transform("s", lambda s: s["images"]))), F.array().cast("array<string>"))
+    return joined.select("query_id", F.substring("answer", 1, most).alias("answer"), cut.alias("sources"), images.alias("images"))

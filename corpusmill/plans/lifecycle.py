@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import sign_histogram
+from ..operators import alignment as A
 from ..operators import chunking as C
 from ..operators import lifecycle as X
 from ..operators import prompts as P
@@ -142,3 +143,55 @@ def small_labels(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     context, own = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" in "), "lang")), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(" ")
     return d.select("doc_id", T.chinese_count(F.col("n_chars") * 20).alias("label"), T.embedding_text(context, F.substring("text", 1, 100)).alias("embedded"), T.merged_setting(own, F.lit("common")).alias("setting"))
+
+
+@query("""WITH s AS (SELECT conv_id, string_agg(role || '：' || substring(text, 1, 200), chr(10) ORDER BY turn) AS sources, list_distinct(flatten(list(CASE WHEN turn % 2 = 0 THEN ['/api/files/images/' || turn || '.png'] ELSE [] END))) AS i FROM conversations GROUP BY conv_id)
+SELECT conv_id AS query_id, 'answer ' || conv_id AS answer, sources, array_to_string(list_sort(i), ' ') AS images FROM s""")
+def external_answers(spark, sf_dir):
+    """What callers from outside get of each conversation, its turns as sources with images."""
+    c = table(spark, sf_dir, "conversations")
+    image = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" ![x](/api/files/images/"), F.col("turn").cast("string"), F.lit(".png)"))).otherwise("")
+    s = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("document_name"), F.concat(F.rpad("text", 200, " "), F.substring("text", 201, 1 << 30), image).alias("text"), F.lit("").alias("parent_text"))
+    answers = c.select(F.col("conv_id").alias("query_id")).distinct().withColumn("answer", F.concat(F.lit("answer "), F.col("query_id").cast("string")))
+    found = P.external_results(answers, s, most_source=200)
+    line = lambda x: F.concat(x["document_name"], F.lit("："), F.rtrim(x["text"]))
+    return found.select("query_id", "answer", F.array_join(F.transform("sources", line), "\n").alias("sources"), F.array_join(F.array_sort("images"), " ").alias("images"))
+
+
+@query("SELECT o_orderkey AS task_id, o_orderstatus AS status, c_name AS kb_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey")
+def evaluation_tasks(spark, sf_dir):
+    """Evaluations with what is known here of who started them."""
+    own = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("kb_name"))
+    return table(spark, sf_dir, "orders").join(own, "o_custkey", "left").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"), "kb_name")
+
+
+@query(r"""WITH l AS (SELECT doc_id, p, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(p, '\S'))
+SELECT doc_id, n::INTEGER AS chunk_index, substring(p, 1, 500) AS text FROM l WHERE n < 20""")
+def chunk_previews(spark, sf_dir):
+    """What a list shows of each document: twenty chunks of 500 signs, as the operator's report has it."""
+    chunks = C.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", partial(C.regex_spans, pattern=r"\n+"))
+    return P.preview(chunks, "doc_id").select("doc_id", "chunk_index", "text")
+
+
+@query("SELECT user_id AS query_id, event_id % 50 AS doc_id, event_id % 3 AS chunk_index, min(event_id) AS rank FROM events GROUP BY ALL")
+def distinct_hits(spark, sf_dir):
+    """Of each query's hits one a document and chunk, the best."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 50).alias("doc_id"), (F.col("event_id") % 3).alias("chunk_index"), F.col("event_id").alias("rank"))
+    return P.first_of_chunks(e)
+
+
+@query()
+def answer_highlights(spark, sf_dir):
+    """Ranges of the question before it that each answer has too."""
+    from pyspark.sql import Window
+
+    talk = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("pair"), "role", "text", F.lag("text").over(talk).alias("before"))
+    return A.highlights(pairs.where("role = 'assistant' AND before IS NOT NULL"), "pair", "text", "before")
+
+
+@query()
+def aligned_chunks(spark, sf_dir):
+    """Every second line of a document as a model's piece, its white space changed, put back to the text."""
+    pieces = F.transform(F.filter(F.split("text", "\n"), lambda l, i: i % 2 == 1), lambda l: F.regexp_replace(l, r"\s+", "  "))  # noqa: E741
+    return A.aligned_chunks(table(spark, sf_dir, "documents").withColumn("pieces", pieces), "doc_id", "text", "pieces")

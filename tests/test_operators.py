@@ -91,7 +91,9 @@ def test_graph_and_metrics(spark):
 def test_context_functions(spark):
     from corpusmill.operators import context as X
 
-    assert X.aligned_spans("a  b\nc d e", ["a b", "x", "c  d", ""]) == [(0, 4), None, (5, 8), None]
+    from corpusmill.operators import alignment as A
+
+    assert A.aligned_spans("a  b\nc d e", ["a b", "x", "c  d", ""]) == [(0, 4), None, (5, 8), None]
     row = spark.createDataFrame([("abcdef", "xxabcd", "![i](p/q.png) ![j](http://h/z.png) ![k](n.gif)")], "a string, b string, m string")
     got = row.select(X.shared_share(F.col("a"), F.col("b")).alias("s"), X.rewritten_images(F.col("m"), "/f/").alias("m")).first()
     assert round(got.s, 4) == 0.3333 and got.m == "![i](/f/q.png) ![j](http://h/z.png) ![k](/f/n.gif)"
