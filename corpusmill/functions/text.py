@@ -164,6 +164,13 @@ def merged_setting(own: Column, common: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(own), F.lit("")), common)
 
 
+def memory_items(c: Column) -> Column:
+    """What an answer says of a user: an array of type, content and confidence (0 to 1); [] for none, items without content left out."""
+    items = F.coalesce(_recovered(c, "items array<struct<type:string,content:string,confidence:double>>", "{")["items"], _recovered(c, "array<struct<type:string,content:string,confidence:double>>", "["))
+    told = F.transform(items, lambda x: F.struct(x["type"].alias("type"), strip(x["content"]).alias("content"), clamped_confidence(x["confidence"]).alias("confidence")))
+    return F.coalesce(F.filter(told, lambda x: F.coalesce(x["content"], F.lit("")) != ""), F.array().cast("array<struct<type:string,content:string,confidence:double>>"))
+
+
 def clamped_confidence(c: Column) -> Column:
     """0 to 1; a missing or zero confidence counts as 0.5."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(0.5)).otherwise(c)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import escaped_html
+from ..functions.vectors import cosine
+
 # The metrics by name, and those that need embeddings.
 METRICS = ["answer_correctness", "answer_relevancy", "context_precision", "context_recall", "faithfulness", "semantic_similarity"]
 NEED_EMBEDDINGS = ["answer_relevancy", "semantic_similarity"]
@@ -34,6 +37,22 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(tp > 0, tp / (tp + 0.5 * (fp + fn))).otherwise(0.0)
 
 
+def answer_relevancy(question: Column, asked: Column, evasive: Column) -> Column:
+    """Mean cosine of the question's vector and those of questions made from the answer; 0 if all answers evade (1), null for none."""
+    each = F.aggregate(F.transform(asked, lambda v: cosine(question, v)), F.lit(0.0), lambda t, x: t + x) / F.size(asked)
+    return F.when(F.size(asked) > 0, F.when(F.forall(evasive, lambda e: e == 1), 0.0).otherwise(each))
+
+
+def html_reports(scores: DataFrame, key: str) -> DataFrame:
+    """A page for each ``key`` with its scores (idx, metric, score) as a table, a row a sample: key, html. A task's samples bound a page."""
+    number = F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.4f", "score"))
+    cells = F.array_sort(F.collect_list(F.struct("metric", number.alias("v"))))
+    line = F.concat(F.lit("<tr><td>"), F.col("idx").cast("string"), F.lit("</td>"), F.array_join(F.transform("c", lambda x: F.concat(F.lit("<td>"), escaped_html(x["metric"]), F.lit(": "), x["v"], F.lit("</td>"))), ""), F.lit("</tr>"))
+    rows = scores.groupBy(key, "idx").agg(cells.alias("c")).select(key, F.struct("idx", line.alias("line")).alias("r"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("l"))
+    return listed.select(key, F.concat(F.lit("<table>"), F.array_join(F.col("l.line"), ""), F.lit("</table>")).alias("html"))
+
+
 def long_scores(samples: DataFrame, scores: dict[str, Column]) -> DataFrame:
     """A row per sample and metric: idx, metric, score, error. NaN becomes null with a reason."""
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), c.cast("double").alias("raw")) for m, c in scores.items())))

@@ -179,3 +179,13 @@ def may_extract(current_round: Column, last_round: Column, now: Column, last_at:
 def log_tail(lines: DataFrame, after: int, limit: int) -> DataFrame:
     """The last ``limit`` lines (line, value) behind ``after``, blank ones left out; the planner keeps no more than these."""
     return lines.where((F.col("line") > after) & (F.trim("value") != "")).orderBy(F.desc("line")).limit(limit)
+
+
+def user_violations(users: DataFrame) -> DataFrame:
+    """Rules that ``users`` (user_id, role, status, department_id) breaks: problem, department_id, n.
+
+    A department has one admin at most, and one super admin at least is active.
+    """
+    admins = users.where("role = 'dept_admin'").groupBy("department_id").agg(F.count("*").alias("n")).where("n > 1")
+    active = users.agg(F.count_if((F.col("role") == "super_admin") & (F.col("status") == "active")).alias("n")).where("n = 0")
+    return admins.select(F.lit("several admins").alias("problem"), "department_id", "n").unionByName(active.select(F.lit("no active super admin").alias("problem"), F.lit(None).cast(users.schema["department_id"].dataType).alias("department_id"), "n"))

@@ -51,6 +51,28 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def listed(docs: DataFrame, kb_id: str | None = None, trash: bool = False) -> DataFrame:
+    """Documents (kb_id, deleted, created_at, deleted_at) of a base, or of all, newest first; with ``trash`` the deleted ones, last deleted first."""
+    rows = docs.where(F.col("deleted") == trash)
+    rows = rows if kb_id is None else rows.where(F.col("kb_id") == kb_id)
+    return rows.orderBy(F.desc_nulls_last("deleted_at" if trash else "created_at"), "doc_id")
+
+
+def paged(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page and, in each of its rows, total: how many rows there are in all."""
+    return page(rows, order, number, size).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def in_scope(rows: DataFrame, role: str, department: str | None, column: str = "department_id") -> DataFrame:
+    """What a role's statistics count: all for a super admin, the department's for others."""
+    return rows if role == "super_admin" else rows.where(F.col(column) == F.lit(department))
+
+
+def unknown_bases(configs: DataFrame, bases: DataFrame) -> DataFrame:
+    """config_id, kb_id of bases that a configuration (config_id, kb_ids) names and that are not there."""
+    return configs.select("config_id", F.explode("kb_ids").alias("kb_id")).distinct().join(bases.select("kb_id"), "kb_id", "left_anti").select("config_id", "kb_id")
+
+
 def with_names(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """Adds ``name`` from a dimension table, or the key itself where the dimension has none (a deleted row keeps its id)."""
     return rows.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(F.col(name), F.col(key).cast("string")))

@@ -95,3 +95,11 @@ def external_results(answers: DataFrame, sources: DataFrame, most: int = 4_000,
     cut = F.coalesce(F.transform("s", lambda s: F.struct(s["document_name"].alias("document_name"), s["text"].alias("text"))), F.array().cast("array<struct<document_name:string,text:string>>"))
     images = F.coalesce(F.array_distinct(F.flatten(F.transform("s", lambda s: s["images"]))), F.array().cast("array<string>"))
     return joined.select("query_id", F.substring("answer", 1, most).alias("answer"), cut.alias("sources"), images.alias("images"))
+
+
+def session_markdown(messages: DataFrame, snippet: int = 500) -> DataFrame:
+    """conv_id, markdown of messages (conv_id, turn, role, text, sources: array of document_name, text): whole messages, each with its numbered sources, cut at ``snippet`` signs."""
+    cited = F.transform(F.coalesce("sources", F.array().cast("array<struct<document_name:string,text:string>>")), lambda s, i: F.concat(F.lit("\n\n> ["), (i + 1).cast("string"), F.lit("] "), s["document_name"], F.lit("："), F.substring(s["text"], 1, snippet)))
+    line = F.concat(F.lit("**"), "role", F.lit("** "), "text", F.array_join(cited, ""))
+    listed = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))).alias("l"))
+    return listed.select("conv_id", F.array_join(F.col("l.t"), "\n\n").alias("markdown"))

@@ -11,6 +11,7 @@ from ..functions.vectors import sign_histogram
 from ..operators import alignment as A
 from ..operators import chunking as C
 from ..operators import lifecycle as X
+from ..operators import listing as L
 from ..operators import prompts as P
 from ..sources.tables import table
 from .metadata import DOCS_SQL, documents
@@ -145,7 +146,7 @@ def small_labels(spark, sf_dir):
     return d.select("doc_id", T.chinese_count(F.col("n_chars") * 20).alias("label"), T.embedding_text(context, F.substring("text", 1, 100)).alias("embedded"), T.merged_setting(own, F.lit("common")).alias("setting"))
 
 
-@query("""WITH s AS (SELECT conv_id, string_agg(role || '：' || substring(text, 1, 200), chr(10) ORDER BY turn) AS sources, list_distinct(flatten(list(CASE WHEN turn % 2 = 0 THEN ['/api/files/images/' || turn || '.png'] ELSE [] END))) AS i FROM conversations GROUP BY conv_id)
+@query("""WITH s AS (SELECT conv_id, string_agg(role || '：' || rtrim(substring(text, 1, 200)), chr(10) ORDER BY turn) AS sources, list_distinct(flatten(list(CASE WHEN turn % 2 = 0 THEN ['/api/files/images/' || turn || '.png'] ELSE [] END))) AS i FROM conversations GROUP BY conv_id)
 SELECT conv_id AS query_id, 'answer ' || conv_id AS answer, sources, array_to_string(list_sort(i), ' ') AS images FROM s""")
 def external_answers(spark, sf_dir):
     """What callers from outside get of each conversation, its turns as sources with images."""
@@ -195,3 +196,30 @@ def aligned_chunks(spark, sf_dir):
     """Every second line of a document as a model's piece, its white space changed, put back to the text."""
     pieces = F.transform(F.filter(F.split("text", "\n"), lambda l, i: i % 2 == 1), lambda l: F.regexp_replace(l, r"\s+", "  "))  # noqa: E741
     return A.aligned_chunks(table(spark, sf_dir, "documents").withColumn("pieces", pieces), "doc_id", "text", "pieces")
+
+
+@query("""SELECT conv_id, string_agg('**' || role || '** ' || text || CASE WHEN turn % 2 = 1 THEN chr(10) || chr(10) || '> [1] ' || role || '：' || substring(text, 1, 500) || chr(10) || chr(10) || '> [2] more：x' ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+def cited_sessions(spark, sf_dir):
+    """Conversations as Markdown, answers with numbered sources."""
+    of = F.array(F.struct(F.col("role").alias("document_name"), "text"), F.struct(F.lit("more").alias("document_name"), F.lit("x").alias("text")))
+    return P.session_markdown(table(spark, sf_dir, "conversations").withColumn("sources", F.when(F.col("turn") % 2 == 1, of)))
+
+
+@query("SELECT 'several admins' AS problem, c_nationkey AS department_id, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 GROUP BY c_nationkey HAVING count(*) > 1 UNION ALL SELECT 'no active super admin', NULL, 0")
+def user_violations(spark, sf_dir):
+    role = F.when(F.col("c_custkey") % 7 == 0, "dept_admin").when(F.col("c_custkey") % 11 == 0, "super_admin").otherwise("user")
+    return X.user_violations(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), role.alias("role"), F.when(F.col("c_custkey") % 11 == 0, "disabled").otherwise("active").alias("status"), F.col("c_nationkey").alias("department_id")))
+
+
+@query("SELECT c_custkey AS config_id, k AS kb_id FROM (SELECT c_custkey, unnest(list_distinct([c_nationkey, c_nationkey + 3, c_nationkey + 9])) AS k FROM customer) WHERE k NOT IN (SELECT n_nationkey FROM nation)")
+def unknown_bases(spark, sf_dir):
+    """Bases that configurations name and that are not there."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("config_id"), F.array(F.col("c_nationkey"), F.col("c_nationkey") + 3, F.col("c_nationkey") + 9).alias("kb_ids"))
+    return L.unknown_bases(c, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("kb_id")))
+
+
+@query(f"SELECT doc_id, kb_id, total FROM (SELECT *, (SELECT count(*) FROM {DOCS_SQL} WHERE deleted) AS total FROM {DOCS_SQL} WHERE deleted ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20)")
+def trash_page(spark, sf_dir):
+    """The second page of the trash with its total, last deleted first: a document's length stands for the time."""
+    d = documents(spark, sf_dir).select("doc_id", "kb_id", "deleted", F.col("n_chars").alias("deleted_at"))
+    return L.paged(L.listed(d, trash=True), [F.desc("deleted_at"), F.asc("doc_id")], 2, 20).select("doc_id", "kb_id", "total")

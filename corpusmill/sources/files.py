@@ -42,16 +42,21 @@ def _as_list(c: Column, kind: str) -> Column:
 def dataset(spark: SparkSession, path: str, kind: str = "csv", samples_field: str | None = None) -> DataFrame:
     """Evaluation samples: question, answer, contexts (array), ground_truth. Only the question is required.
 
-    ``kind``: csv, tsv or json (a list, or objects one a line; with ``samples_field``, the list in that field).
-    Other names of the columns: response, context, ground_truths (its first element).
+    ``kind``: csv, tsv or json (a list, objects one a line, or one object with a list for each column; with
+    ``samples_field``, the list in that field). Other names of the columns: response, context, ground_truths
+    (its first element). Empty fields and the text NaN are null.
     """
     if kind == "json":
         rows = spark.read.json(path, multiLine=True)
         if samples_field:
             rows = rows.select(F.inline(samples_field))
+        elif dict(rows.dtypes).get("question", "").startswith("array"):
+            rows = rows.select(F.inline(F.arrays_zip(*rows.columns)))
     else:
         rows = spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True, multiLine=True, escape='"')
     kinds = dict(rows.dtypes)
+    missing = lambda c: F.when(F.lower(F.trim(c)).isin("", "nan"), None).otherwise(F.col(c))
+    rows = rows.select(*((missing(c) if k == "string" else F.when(~F.isnan(c), F.col(c)) if k == "double" else F.col(c)).alias(c) for c, k in kinds.items()))
     if "question" not in kinds:
         raise ValueError("a dataset needs a column question")
     first = lambda names, null: next((F.col(n) for n in names if n in kinds), F.lit(None).cast(null))
@@ -63,9 +68,24 @@ def dataset(spark: SparkSession, path: str, kind: str = "csv", samples_field: st
 LOG_SCHEMA = "ts timestamp, kb_id string, query string, hits array<bigint>"
 
 
+def append_by_day(entries: DataFrame, path: str, time: str = "ts") -> None:
+    """Entries of a log as JSON lines, a folder a day."""
+    entries.withColumn("dt", F.date_format(time, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path)
+
+
 def append_log(entries: DataFrame, path: str) -> None:
-    """Retrieval log entries as JSON lines, a folder a day."""
-    entries.select("ts", "kb_id", F.substring("query", 1, 100).alias("query"), "hits", F.date_format("ts", "yyyy-MM-dd").alias("dt")).write.mode("append").partitionBy("dt").json(path)
+    """Retrieval log entries, queries cut at 100 signs."""
+    append_by_day(entries.select("ts", "kb_id", F.substring("query", 1, 100).alias("query"), "hits"), path)
+
+
+def append_queries(entries: DataFrame, path: str) -> None:
+    """Entries of the log of queries from outside (ts, config_id, session_id, query, answer): queries cut at 100, answers at 4,000 signs."""
+    append_by_day(entries.select("ts", "config_id", "session_id", F.substring("query", 1, 100).alias("query"), F.substring("answer", 1, 4_000).alias("answer")), path)
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Entries of the audit trail (ts, user_id, action, target_id, detail, ip, status): details cut at 1,000 signs."""
+    append_by_day(entries.select("ts", "user_id", "action", "target_id", F.substring("detail", 1, 1_000).alias("detail"), "ip", "status"), path)
 
 
 def read_log(spark: SparkSession, path: str, kb_id: str, last_day: str, days: int) -> DataFrame:
