@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -61,17 +62,36 @@ def merged_memory(old: list[tuple[str, float]], found: list[tuple[str, float]],
 def profile_memory(rounds: DataFrame) -> DataFrame:
     """The memory of each user after all rounds: user_id, content, confidence. ``rounds``: user_id string, round int, content string, confidence double.
 
-    Rounds of a user follow each other, so this is a fold over one user's rows, which a user's own
-    profile bounds; users spread over the cluster.
+    Rounds of a user follow each other, so this is a fold: Spark sorts the rows of a user and they pass
+    through one worker as a stream, which holds a round and the user's memory and no more. Rows without a
+    user or content are left out.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = at = None
         memory: list[tuple[str, float]] = []
-        for _, own in pdf.sort_values(["round", "content"]).groupby("round", sort=True):
-            memory = merged_memory(memory, list(zip(own["content"], own["confidence"], strict=True)))
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "content": [m[0] for m in memory], "confidence": [m[1] for m in memory]})
-
-    return rounds.where("content IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id").applyInPandas(fold, "user_id string, content string, confidence double")
+        found: list[tuple[str, float]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([user] * len(memory), pa.string()), pa.array([m[0] for m in memory], pa.string()), pa.array([m[1] for m in memory], pa.float64())], names=["user_id", "content", "confidence"])
+
+        for batch in batches:
+            for own, n, content, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own, n) != (user, at):
+                    memory = merged_memory(memory, found) if found else memory
+                    found = []
+                    if own != user:
+                        if memory:
+                            yield out()
+                        memory = []
+                    user, at = own, n
+                found.append((content, confidence))
+        memory = merged_memory(memory, found) if found else memory
+        if memory:
+            yield out()
+
+    rows = rounds.where("content IS NOT NULL AND user_id IS NOT NULL").select(F.col("user_id").cast("string"), F.col("round").cast("long"), "content", F.col("confidence").cast("double"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "round", "content").mapInArrow(fold, "user_id string, content string, confidence double")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +102,6 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_daily(lines: DataFrame, path: str, checkpoint: str):
-    """A stream of log lines (ts) as Parquet, a folder a day; what is older than is kept goes folder by folder."""
+    """A stream of log lines (ts) as Parquet, a folder a day, so that days past their time go folder by folder."""
     dated = lines.withColumn("day", F.to_date("ts"))
     return dated.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
