@@ -1,4 +1,4 @@
-"""The export of whole messages; its SQL cuts them."""
+"""The export of whole messages."""
 
 import pytest
 

@@ -1,4 +1,4 @@
-"""The fold of descriptions, against the reference's rule; the SQL of graph_entities has the first only."""
+"""The fold of descriptions, against the reference's rule."""
 
 from corpusmill.operators import graph as G
 
