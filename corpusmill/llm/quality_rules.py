@@ -114,8 +114,8 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     columns apart from those that ``docs`` has, which they otherwise replace.
     """
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # Spark broadcasts the ids below its own bound of size and shuffles both sides beyond it
-    trusted = named.join(trusted_ids.select(F.col("trusted_id").alias("_id")), "_id", "left_semi")
+    # the same plan at every size: how many ids are trusted grows with the corpus
+    trusted = named.join(trusted_ids.select(F.col("trusted_id").alias("_id")).hint("merge"), "_id", "left_semi")
     model = llr_model(named, trusted, "_text", bits).first()["ratios"]  # 2 ** bits numbers
     ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to a constant
     out = base_rules(docs, text_col, prefix)
