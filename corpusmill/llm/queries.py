@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import fresh_path
+from ..scratch import fresh_path, written
 from ..sources.tables import table
-from . import bpe, folds, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
+from . import bpe, filter_audit, folds, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -90,5 +90,52 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    rows = filter_audit.with_repeated(written(filter_audit.measures(table(spark, sf_dir, "documents")), "measures"))
+    rows = filter_audit.with_marks(rows, labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    filters = {
+        "A": F.col("n_words") < 100,
+        "B": 100 * F.col("n_distinct") < 80 * F.col("n_words"),
+        "C": 100 * F.col("n_upper") > 10 * F.col("n_chars"),
+        "D": F.col("symbol"),
+        "E": F.col("repeated"),
+    }
+    return filter_audit.audit(rows, filters, "part", {"good": F.col("good"), "toxic": F.col("toxic")})
+
+
+QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup, op12_filter_audit)}
+
+#: All orders of five filters, and each step of one.
+_AUDIT = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+m AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+    'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first_id, false)} AS fails
+  FROM w LEFT JOIN m USING (doc_id)),
+s AS (SELECT part, good, toxic, concat(CASE WHEN fails.A THEN 'A' ELSE '' END, CASE WHEN fails.B THEN 'B' ELSE '' END, CASE WHEN fails.C THEN 'C' ELSE '' END,
+  CASE WHEN fails.D THEN 'D' ELSE '' END, CASE WHEN fails.E THEN 'E' ELSE '' END) AS failed FROM f),
+n AS (SELECT part, failed, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM s GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+p AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT contains(failed, own) AND translate(failed, before, '') = failed THEN docs ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') = failed THEN docs ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') <> failed THEN docs ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = own THEN docs ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') = failed THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END) AS toxic_lost
+  FROM n, p GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _AUDIT}
