@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import fresh_path, written
 from ..sources.tables import table
-from . import bpe, filter_audit, folds, language_id, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
+from . import bpe, filter_audit, folds, language_id, mtree, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -104,7 +104,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(rows, filters, "part", {"good": F.col("good"), "toxic": F.col("toxic")})
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup, op12_filter_audit)}
+def op13_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup, op12_filter_audit, op13_mtree_top_k)}
 
 #: All orders of five filters, and each step of one.
 _AUDIT = """
@@ -138,4 +142,16 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _AUDIT}
+#: Vectors as whole numbers; a row's number tells rows apart.
+_POINTS = """
+v AS (SELECT row_number() OVER () AS pos, vec_id, label, [CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+_TOP_K = f"""
+WITH {_POINTS.format(factor=1024)},
+q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.pos, q.vec_id AS query_id, v.vec_id, v.pos AS other, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.x, v.x)]) AS BIGINT) AS score FROM q JOIN v ON q.pos <> v.pos)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id NULLS LAST, other) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _AUDIT, "op13_mtree_top_k": _TOP_K}
