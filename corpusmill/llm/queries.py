@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import fresh_path, written
 from ..sources.tables import table
-from . import bpe, filter_audit, folds, language_id, mtree, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
+from . import bpe, filter_audit, folds, hard_negatives, language_id, mtree, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, winnowing
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -90,6 +90,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     rows = filter_audit.with_repeated(written(filter_audit.measures(table(spark, sf_dir, "documents")), "measures"))
@@ -108,7 +113,7 @@ def op13_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup, op12_filter_audit, op13_mtree_top_k)}
+QUERIES = {q.__name__: q for q in (op1_bpe_round_trip, op2_harmonic_packing, op3_token_counts, op4_winnowing, op5_arc_to_warc, op6_quality_rules, op7_language_id, op8_external_shuffle, op9_quality_classifier, op10_simhash_near_dedup, op11_hard_negatives, op12_filter_audit, op13_mtree_top_k)}
 
 #: All orders of five filters, and each step of one.
 _AUDIT = """
@@ -153,5 +158,16 @@ s AS (SELECT q.pos, q.vec_id AS query_id, v.vec_id, v.pos AS other, CAST(list_su
 SELECT query_id, CAST(row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id NULLS LAST, other) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
+_HARD_NEGATIVES = f"""
+WITH {_POINTS.format(factor=256)},
+l AS (SELECT pos, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.pos, a.vec_id AS anchor_id, c.pos AS other, c.vec_id, a.label = c.label AS same, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.x, c.x)]) AS BIGINT) AS score
+  FROM l a JOIN l c ON a.vec_id % 50 = 0 AND a.pos <> c.pos),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id NULLS LAST, other) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.pos, p.other ORDER BY n.score DESC, n.vec_id NULLS LAST, n.other) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.pos = n.pos AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _AUDIT, "op13_mtree_top_k": _TOP_K}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": _HARD_NEGATIVES, "op12_filter_audit": _AUDIT, "op13_mtree_top_k": _TOP_K}
