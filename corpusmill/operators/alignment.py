@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,14 +10,13 @@ from pyspark.sql import functions as F
 from .chunking import chunked, pieces_of
 from .structure import headings
 
-# How much of a piece must be found, how many signs are looked up first, how many places are tried,
-# how many heading lines go before a piece; the labels of pieces, and the one for all others.
+# How much of a piece must be found, how many heading lines go before a piece; the labels of pieces, and the one for all others.
 LEAST_SHARE = 0.5
-SEEDS = [30, 20, 10, 5]
-MOST_PLACES = 5
 HEADING_LINES = 3
 LABELS = ["论述类", "事实类", "操作类", "数据类"]
 OTHER_LABEL = "其他"
+#: Signs of a gram by which pieces are found, and in how many places of a text one may stand to tell something.
+GRAM, RARE = 8, 16
 
 
 def label(c: Column) -> Column:
@@ -32,43 +30,81 @@ def image_urls(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"/api/files/images/[^\s)\"'<>\]]+"), F.lit(0)))
 
 
+def _chain(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of ``points`` (x, y) in which both rise. Points are in order of x, of equal x the higher y first."""
+    tails: list[int] = []  # the least y in which a chain of each length ends
+    ends: list[int] = []  # and the point there
+    before: list[int] = []
+    for n, (_, y) in enumerate(points):
+        k = bisect_left(tails, y)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [y], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(points[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _anchored(text: str, pieces: list[str]) -> list[list[tuple[int, int]]]:
+    """For each piece, (place in it, place in the text) of grams it shares with the text, such that all pieces together go one way."""
+    held: dict[str, list[int]] = {}
+    for i in range(len(text) - GRAM + 1):
+        held.setdefault(text[i : i + GRAM], []).append(i)
+    starts, points = [], []
+    for piece in pieces:
+        starts.append(starts[-1] + len(pieces[len(starts) - 1]) if starts else 0)
+        for i in range(len(piece) - GRAM + 1):
+            places = held.get(piece[i : i + GRAM], [])
+            if len(places) <= RARE:
+                points += [(starts[-1] + i, y) for y in reversed(places)]
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+    for x, y in _chain(points):
+        n = bisect_right(starts, x) - 1
+        out[n].append((x - starts[n], y))
+    return out
+
+
+def _run(text: str, piece: str, shared: list[tuple[int, int]], low: int) -> tuple[int, int]:
+    """The longest stretch that the piece and the text share through one of the places, not before ``low``."""
+    best = (0, 0)
+    for shift in {y - x for x, y in shared}:
+        lo, hi = max(0, low - shift, -shift), min(len(piece), len(text) - shift)
+        start = lo
+        for i in range(lo, hi + 1):
+            if i == hi or piece[i] != text[i + shift]:
+                best = max(best, (start + shift, i + shift), key=lambda r: (r[1] - r[0], -r[0]))
+                start = i + 1
+    return best
+
+
 def aligned_spans(text: str, pieces: list[str]) -> list[tuple[int, int] | None]:
     """Where each piece of a model's answer stands in the text, one after the other; None where it is not found.
 
-    As it is, else with other white space, else the longest common run near a place where its first signs
-    stand, if that is half the piece or more.
+    White space does not count. Rare grams that pieces and text share are points, and the longest chain of
+    points in which both go forward says where the pieces stand, all of them at once. A piece's span is the
+    longest stretch through its points that is shared sign by sign; half of the piece must be in it. A piece
+    without points (short, or of common words) stands where all of it is found between its neighbours.
     """
     places = [i for i, c in enumerate(text) if not c.isspace()]
     flat = "".join(text[i] for i in places)
-    out: list[tuple[int, int] | None] = []
-    at = 0
-    for piece in ((p or "").strip() for p in pieces):
-        bare, span = "".join(piece.split()), None
-        if piece and (i := text.find(piece, at)) >= 0:
-            span = i, i + len(piece)
-        elif bare and (i := flat.find(bare, bisect_left(places, at))) >= 0:
-            span = places[i], places[i + len(bare) - 1] + 1
-        elif len(bare) >= 8:
-            span = _likely(text, flat, places, piece, bare, at)
-        out.append(span)
-        at = span[1] if span else at
-    return out
-
-
-def _likely(text: str, flat: str, places: list[int], piece: str, bare: str, at: int) -> tuple[int, int] | None:
-    tried: list[int] = []
-    for size in [n for n in SEEDS if n < len(bare)]:
-        i = flat.find(bare[:size], bisect_left(places, at))
-        while i >= 0 and len(tried) < MOST_PLACES:
-            tried.append(places[i])
-            i = flat.find(bare[:size], i + 1)
-    best, found = LEAST_SHARE * len(piece), None
-    for place in tried:
-        lo = max(0, place - len(piece))
-        m = difflib.SequenceMatcher(None, piece, text[lo : place + 2 * len(piece)], autojunk=False).find_longest_match()
-        if lo + m.b >= at and m.size and (m.size > best or found is None and m.size >= best):
-            best, found = m.size, (lo + m.b, lo + m.b + m.size)
-    return found
+    bare = ["".join((p or "").split()) for p in pieces]
+    shared = _anchored(flat, bare)
+    runs: list[tuple[int, int] | None] = []
+    low = 0
+    for piece, points in zip(bare, shared, strict=True):
+        run = _run(flat, piece, points, low) if points else (0, 0)
+        runs.append(run if run[1] - run[0] >= max(1, LEAST_SHARE * len(piece)) else None)
+        low = runs[-1][1] if runs[-1] else low
+    ahead = [len(flat)] * (len(runs) + 1)
+    for n in reversed(range(len(runs))):
+        ahead[n] = runs[n][0] if runs[n] else ahead[n + 1]
+    low = 0
+    for n, piece in enumerate(bare):
+        if not runs[n] and piece and (i := flat.find(piece, low, ahead[n])) >= 0:
+            runs[n] = i, i + len(piece)
+        low = runs[n][1] if runs[n] else low
+    return [(places[r[0]], places[r[1] - 1] + 1) if r else None for r in runs]
 
 
 def with_lost_headings(text: str, spans: list[tuple[int, int]], heads: list[int]) -> list[tuple[int, int]]:
@@ -76,14 +112,16 @@ def with_lost_headings(text: str, spans: list[tuple[int, int]], heads: list[int]
 
     Up to three heading lines with nothing but white space between.
     """
+    lines = [text[h : e if (e := text.find("\n", h)) >= 0 else len(text)] for h in heads]
+    stacked = [0] * len(heads)  # how many headings stand right above each
+    for n in range(1, len(heads)):
+        stacked[n] = 0 if text[heads[n - 1] + len(lines[n - 1]) : heads[n]].strip() else stacked[n - 1] + 1
     out, last = [], 0
-    line = lambda h: text[h : len(text) if (e := text.find("\n", h)) < 0 else e]
     for a, b in spans:
-        start, j = a, bisect_left(heads, a)
-        if not (j < len(heads) and heads[j] == a) and j and heads[j - 1] >= last and "".join(line(heads[j - 1]).split()) not in "".join(text[a:b].split()):
-            start, j, lines = heads[j - 1], j - 1, 1
-            while j and lines < HEADING_LINES and heads[j - 1] >= last and not text[heads[j - 1] + len(line(heads[j - 1])) : heads[j]].strip():
-                start, j, lines = heads[j - 1], j - 1, lines + 1
+        start, n = a, bisect_right(heads, a) - 1
+        if n >= 0 and last <= heads[n] < a and "".join(lines[n].split()) not in "".join(text[a:b].split()):
+            top = max(n - min(stacked[n], HEADING_LINES - 1), bisect_left(heads, last))
+            start = heads[top]
         out.append((start, b))
         last = b
     return out
@@ -112,14 +150,15 @@ def highlights(pairs: DataFrame, id_col: str, answer_col: str, source_col: str,
     """
     grams = lambda t: F.when(F.length(t) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (width - 1)), lambda i: F.substring(t, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
     pairs = pairs.select(F.col(id_col).alias("_id"), F.col(answer_col).alias("_answer"), F.col(source_col).alias("_source"))
-    asked = pairs.select("_id", grams(F.regexp_replace(F.coalesce("_answer", F.lit("")), r"(?U)\s+", "")).alias("_asked"))
+    asked = pairs.select("_id", F.explode(grams(F.regexp_replace(F.coalesce("_answer", F.lit("")), r"(?U)\s+", ""))).alias("gram"))
     parts = pieces_of(pairs, "_id", "_source", r"!\[[^\]]*\]\([^)]*\)")
     signs = F.filter(F.transform(F.split("piece", ""), lambda c, i: F.struct(c.alias("c"), (F.col("start") + i).alias("at"))), lambda s: s["c"].rlike(r"(?U)\S"))
-    told = parts.join(asked, "_id").withColumn("_signs", signs)
+    told = parts.select("_id", "n", signs.alias("_signs"))
     gram = lambda i: F.array_join(F.transform(F.slice("_signs", i + 1, width), lambda s: s["c"]), "")
-    starts = F.when(F.size("_signs") >= width, F.filter(F.sequence(F.lit(0), F.size("_signs") - width), lambda i: F.array_contains("_asked", gram(i)))).otherwise(F.array().cast("array<int>"))
-    hits = told.select("_id", "n", "_signs", F.explode(starts).alias("i"))
-    hits = hits.select("_id", "n", "i", F.get("_signs", F.col("i"))["at"].alias("start"), (F.get("_signs", F.col("i") + (width - 1))["at"] + 1).alias("end"))
+    at = lambda i: F.get("_signs", i)["at"]
+    placed = F.transform(F.sequence(F.lit(0), F.size("_signs") - width), lambda i: F.struct(i.alias("i"), gram(i).alias("gram"), at(i).alias("start"), (at(i + (width - 1)) + 1).alias("end")))
+    held = told.where(F.size("_signs") >= width).select("_id", "n", F.explode(placed).alias("g")).select("_id", "n", "g.*")
+    hits = held.join(asked, ["_id", "gram"], "left_semi").select("_id", "n", "i", "start", "end")
     order = Window.partitionBy("_id", "n").orderBy("i")
     fresh = F.coalesce(F.col("i") - (F.lag("i").over(order) + width) > gap, F.lit(True)).cast("int")
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

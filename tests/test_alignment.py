@@ -80,3 +80,60 @@ def test_spans_are_in_order():
     assert A.aligned_spans("a b a b", ["a b", "a b", "a b"]) == [(0, 3), (4, 7), None]
     with pytest.raises(TypeError):
         A.aligned_spans(None, ["a"])
+
+
+DOC = "背景介绍部分的内容说明文字。\n\n详细步骤包括安装软件包并配置参数。\n\n结尾总结部分的内容说明。"
+PARTS = "第一段内容。\n\n第二段内容。\n\n第三段内容。"
+
+
+def test_cases_of_pieces():
+    slices = lambda text, pieces: [s and text[slice(*s)] for s in A.aligned_spans(text, pieces)]
+    assert slices(DOC, DOC.split("\n\n")) == DOC.split("\n\n")
+    assert slices(PARTS, ["第一段内容。第二段内容。", "第三段内容。"]) == ["第一段内容。\n\n第二段内容。", "第三段内容。"]
+    first, changed, last = slices(DOC, ["背景介绍部分的内容说明文字。", "详细步骤包括安装软件包并设置参数。", "结尾总结部分的内容说明。"])
+    assert changed == "详细步骤包括安装软件包并" and first + last == "背景介绍部分的内容说明文字。结尾总结部分的内容说明。"
+    assert slices(PARTS, ["第一段内容。", "这是完全无关的乱写内容", "第三段内容。"]) == ["第一段内容。", None, "第三段内容。"]
+    assert slices(PARTS, ["完全不存在的文本一", "完全不存在的文本二"]) == [None, None]
+    assert slices("", ["x"]) == [None] and A.aligned_spans("abc", []) == [] and slices("abc", ["", "  "]) == [None, None]
+    assert A.aligned_spans("重复句。\n\n独特句。\n\n重复句。", ["重复句。", "独特句。", "重复句。"]) == [(0, 4), (6, 10), (12, 16)]
+
+
+def test_pieces_of_common_words():
+    line = "the same line again. "
+    text = line * 100 + "Now something else entirely. " + line * 100
+    spans = A.aligned_spans(text, [line * 3, "Now something  else entirely.", line * 2])
+    assert spans[0] == (0, 3 * len(line) - 1) and spans[1] == (2100, 2128) and spans[2] == (2129, 2129 + 2 * len(line) - 1)
+
+
+def test_chain_is_longest():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(200):
+        points = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(12))}, key=lambda p: (p[0], -p[1]))
+        best = {}
+        for n, (x, y) in enumerate(points):
+            best[n] = 1 + max((best[m] for m, (u, v) in enumerate(points[:n]) if u < x and v < y), default=0)
+        chain = A._chain(points)
+        assert len(chain) == max(best.values(), default=0) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
+
+
+def test_random_cuts_with_edits_are_found():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(300)]
+        text = " ".join(words)
+        cuts = sorted(rng.sample(range(1, 300), 6))
+        bounds = list(zip([0, *cuts], [*cuts, 300]))
+        pieces = ["\n".join(words[a:b]) for a, b in bounds]
+        starts = [len(" ".join(words[:a])) + (a > 0) for a, _ in bounds]
+        assert A.aligned_spans(text, pieces) == [(s, s + len(p)) for s, p in zip(starts, pieces)]
+        long = [n for n, (a, b) in enumerate(bounds) if b - a >= 30]
+        for n in long:  # one word in the last quarter of the piece is another one
+            a, b = bounds[n]
+            at = b - (b - a) // 4
+            changed = [*words[a:at], "Z", *words[at + 1 : b]]
+            spans = A.aligned_spans(text, [*pieces[:n], " ".join(changed), *pieces[n + 1 :]])
+            assert spans[n][0] == starts[n] and spans[n][1] >= starts[n] + len(" ".join(words[a:at])) and [s for i, s in enumerate(spans) if i != n] == [(s, s + len(p)) for i, (s, p) in enumerate(zip(starts, pieces)) if i != n]
