@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import versions
 from ..functions.text import json_object, normalized_name, strip
 from ..scratch import written
 from .retrieval import in_blocks
@@ -161,18 +162,18 @@ def shown_network(relations: DataFrame, counts: DataFrame, start: DataFrame, hop
 
 
 def write_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
-    """Saves a base's graph as two Parquet tables in place of what was there."""
-    entities.write.mode("overwrite").parquet(f"{path}/entities")
-    relations.write.mode("overwrite").parquet(f"{path}/relations")
+    """Saves a base's graph as a version of two tables: readers see both new ones or both old ones."""
+    versions.publish(entities.sparkSession, path, {"entities": entities, "relations": relations})
 
 
 def read_graph(spark: SparkSession, path: str, entities: str, relations: str) -> tuple[DataFrame, DataFrame]:
-    """A saved graph by the schemas of its tables; empty tables where one is absent or damaged."""
+    """A saved graph by the schemas of its tables; empty tables where there is none or it is damaged."""
     try:
-        found = tuple(spark.read.parquet(f"{path}/{part}") for part in ("entities", "relations"))
+        if at := versions.current(spark, path):
+            return at.read(spark, "entities"), at.read(spark, "relations")
     except (PySparkException, Py4JJavaError):
-        return spark.createDataFrame([], entities), spark.createDataFrame([], relations)
-    return found
+        pass
+    return spark.createDataFrame([], entities), spark.createDataFrame([], relations)
 
 
 def neighbours(relations: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:

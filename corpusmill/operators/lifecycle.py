@@ -6,13 +6,16 @@ too, so one bad document stops nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
+from ..sources import versions
 
 
 def readable(base_department: Column, role: Column, department: Column) -> Column:
@@ -88,15 +91,42 @@ def ingested(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Ca
     return vectors, report
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors as Parquet, a folder a base; the bases that ``vectors`` has are replaced, others stay."""
-    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
+def write_vectors(vectors: DataFrame, path: str) -> versions.Version:
+    """Vectors as Parquet, a folder a base; the bases that ``vectors`` has are replaced all at once, others stay as they are.
+
+    The new folders are a batch of their own, and a version of the small table of bases says which batch
+    holds which base. A write that fails leaves all bases as they were; readers of old batches may finish.
+    """
+    spark, batch, before = vectors.sparkSession, uuid.uuid4().hex, versions.current(vectors.sparkSession, path)
+    vectors.withColumn("kb_id", F.col("kb_id").cast("string")).write.partitionBy("kb_id").parquet(f"{path}/vectors/batch={batch}")
+    new = _batches(spark, path).where(F.col("batch") == batch).select("kb_id", "batch").distinct()
+    bases = new if before is None else _other(before.read(spark, "bases"), new).unionByName(new)
+    return versions.publish(spark, path, {"bases": bases.coalesce(1)}, base=before)
+
+
+def _other(bases: DataFrame, new: DataFrame) -> DataFrame:
+    """The bases that ``new`` does not have; null is a base like others."""
+    names = new.select(F.col("kb_id").alias("_new"))
+    return bases.join(names, F.col("kb_id").eqNullSafe(F.col("_new")), "left_anti")
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors of all batches, old ones too."""
+    found = spark.read.parquet(f"{path}/vectors").schema
+    names = StructType([StructField(f.name, StringType() if f.name in ("kb_id", "batch") else f.dataType) for f in found])
+    return spark.read.schema(names).parquet(f"{path}/vectors")  # else a base called 01 would be read as 1
 
 
 def read_vectors(spark: SparkSession, path: str, kb_id: str | None = None) -> DataFrame:
-    """All vectors, or a base's: other folders are not read."""
-    rows = spark.read.parquet(path)
-    return rows if kb_id is None else rows.where(F.col("kb_id") == kb_id)
+    """All vectors, or a base's, of the current version: the folders of other bases and batches are not read."""
+    at = versions.current(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"no vectors were published in {path}")
+    bases, rows = at.read(spark, "bases"), _batches(spark, path)
+    if kb_id is not None:
+        bases, rows = bases.where(F.col("kb_id") == kb_id), rows.where(F.col("kb_id") == kb_id)
+    bases = bases.select(F.col("kb_id").alias("_kb"), F.col("batch").alias("_batch"))
+    return rows.join(bases, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("batch") == F.col("_batch")), "left_semi").drop("batch")
 
 
 def rebuilt(vectors: DataFrame, chunks: DataFrame, docs: DataFrame, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:

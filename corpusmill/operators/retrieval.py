@@ -57,7 +57,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
     scored = wanted.join(df, "term").join(F.broadcast(corpus)).select("term", "chunk_id", part.alias("part"))
     totals = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return _top(totals, top_k)
+    return top(totals, top_k)
 
 
 def fields_search(chunks: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], query_id: str, query_text: str, top_k: int) -> DataFrame:
@@ -66,10 +66,11 @@ def fields_search(chunks: DataFrame, queries: DataFrame, id_col: str, fields: di
     united = parts[0]
     for p in parts[1:]:
         united = united.unionByName(p)
-    return _top(united.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), top_k)
+    return top(united.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), top_k)
 
 
-def _top(scored: DataFrame, top_k: int) -> DataFrame:
+def top(scored: DataFrame, top_k: int) -> DataFrame:
+    """The best ``top_k`` of each query by score, ties by chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", "rank")
 
@@ -88,7 +89,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
     found = None
     for block in in_blocks(asked, 32 + 8 * width):
         scored = own.join(block).select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
-        found = _top(scored, top_k) if found is None else found.unionByName(_top(scored, top_k))  # a query is in one block
+        found = top(scored, top_k) if found is None else found.unionByName(top(scored, top_k))  # a query is in one block
     return found
 
 

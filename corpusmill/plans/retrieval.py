@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import vector_index
+from ..scratch import fresh_path
 from ..sources.tables import table
 from .registry import query
 
@@ -62,6 +64,15 @@ def vector_search(spark, sf_dir):
     return R.vector_search(v, queries, "vec_id", "embedding", 10)
 
 
+@query(f"WITH {VECTOR_SQL} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= 10")
+def indexed_vector_search(spark, sf_dir):
+    """The same search by an index of all vectors; 32 cells are asked, at this size all or most of them."""
+    v, path = table(spark, sf_dir, "embeddings"), fresh_path(spark, "vector-index")
+    vector_index.build(v, path, "vec_id", "embedding")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(spark, path, queries, 10, probes=32)
+
+
 def stored(spark, sf_dir):
     """Documents as chunks with their stored vectors; some are in the trash, some do not say."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -116,7 +127,7 @@ def rank_fusion(spark, sf_dir):
     """Fusion, threshold and top-k over the keyword ranking and one made from it by shifting ids."""
     k = keyword_hits(spark, sf_dir)
     shifted = k.select("query_id", (F.col("chunk_id") + 1).alias("chunk_id"), F.round(1.0 / (1 + F.col("rank")), 6).alias("score"))
-    return R.fuse(R._top(shifted, 20), k, top_k=10, min_score=0.1)
+    return R.fuse(R.top(shifted, 20), k, top_k=10, min_score=0.1)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN chunk_id % 3 = 0 THEN NULL ELSE (chunk_id % 17) / 17.0 END DESC NULLS LAST, rank) AS r FROM keyword) WHERE r <= 5")
