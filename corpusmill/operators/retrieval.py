@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, terms
+from ..functions.text import terms
 from ..functions.vectors import cosine, norm
 from ..scratch import written
 
@@ -33,29 +33,41 @@ def active(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("doc_active"), F.lit(True)))
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The inverted index: term, chunk_id, tf, doc_len. Null texts have no terms."""
-    sized = let(terms(F.col(text_col)), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("doc_len"))))
+def _tokens(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """chunk_id and t, the terms of its text in order."""
+    return chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(text_col)).alias("t"))
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    sized = F.transform("t", lambda x: F.struct(x.alias("term"), F.size("t").alias("doc_len")))
     # explode would filter on the size of the array first, and so cut each text into terms twice
-    counted = chunks.select(F.col(id_col).alias("chunk_id"), F.explode_outer(sized).alias("t")).where("t IS NOT NULL").select("chunk_id", "t.term", "t.doc_len")
+    counted = tokens.select("chunk_id", F.explode_outer(sized).alias("t")).where("t IS NOT NULL").select("chunk_id", "t.term", "t.doc_len")
     return counted.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The inverted index: term, chunk_id, tf, doc_len. Null texts have no terms."""
+    return _postings(_tokens(chunks, id_col, text_col))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, top_k: int) -> DataFrame:
     """The best ``top_k`` chunks of each query with a score above 0: query_id, chunk_id, score, rank.
 
     idf is ln(1 + (N - df + .5) / (df + .5)) over all chunks; each distinct term of a query counts
     once. Only postings of terms that occur in a query are scored: the query terms meet the index in
     a hash join, broadcast if small. Counts are pre-aggregated, so a very common term shuffles one
-    row per chunk. What the queries need of the index is written once: it serves counts and scores.
+    row per chunk. Texts are cut into terms once: what the queries need of the index is written, and serves
+    counts and scores, while the lengths of all chunks are summed on the way.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("term IS NOT NULL")
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text_col)))).alias("avgdl"))  # one row
-    wanted = written(postings(chunks, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    corpus = Observation()  # number and lengths of all chunks, seen while their terms pass by
+    tokens = _tokens(chunks, id_col, text_col).observe(corpus, F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("length"))
+    wanted = written(_postings(tokens).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    n, length = corpus.get["n"], corpus.get["length"] or 0
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    scored = wanted.join(df, "term").join(F.broadcast(corpus)).select("term", "chunk_id", part.alias("part"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (length / max(n, 1) or 1)))
+    scored = wanted.join(df, "term").select("term", "chunk_id", part.alias("part"))
     totals = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return top(totals, top_k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from ..operators import vector_index
+from ..operators import keyword_index, vector_index
 from ..scratch import fresh_path
 from ..sources.tables import table
 from .registry import query
@@ -51,6 +51,16 @@ def bm25_search(spark, sf_dir):
     return keyword_hits(spark, sf_dir)
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM keyword")
+def indexed_bm25_search(spark, sf_dir):
+    """The same search by a stored index: built of most documents, the rest added, some removed and added again, then searched."""
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "keyword-index")
+    keyword_index.build(docs.where("doc_id % 10 <> 3"), path, "doc_id", "text")
+    keyword_index.removed(docs.where("doc_id % 10 = 4"), path, "doc_id")
+    keyword_index.added(docs.where("doc_id % 10 IN (3, 4, 5)"), path, "doc_id", "text")
+    return keyword_index.search(spark, path, asked(spark, sf_dir), "item_id", "text", 20)
+
+
 VECTOR_SQL = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 sims AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(v.e, q.e), lambda p: p[1] * p[2])) / (v.n * q.n), 6) AS score FROM v, v AS q WHERE q.vec_id % 50 = 0)
