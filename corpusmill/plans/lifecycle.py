@@ -138,12 +138,12 @@ def result_texts(spark, sf_dir):
     return c.select("conv_id", P.result_text(F.concat(F.lit("answer "), F.col("conv_id").cast("string")), F.col("s"), most=1000).alias("result"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars * 20 >= 10000 THEN ((n_chars * 20 + 500) // 1000 // 10) || '.' || ((n_chars * 20 + 500) // 1000 % 10) || ' 万字' ELSE (n_chars * 20) || ' 字' END AS label, CASE WHEN doc_id % 2 = 0 THEN '【上下文】in ' || lang || chr(10) || substring(text, 1, 100) ELSE substring(text, 1, 100) END AS embedded, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'common' END AS setting FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars * 20 >= 10000 THEN ((n_chars * 20 + 500) // 1000 // 10) || '.' || ((n_chars * 20 + 500) // 1000 % 10) || ' 万字' ELSE (n_chars * 20) || ' 字' END AS label, substring(CASE WHEN doc_id % 2 = 0 THEN '【上下文】in ' || lang || chr(10) || text ELSE text END, 1, 8000) AS embedded, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'common' END AS setting FROM documents")
 def small_labels(spark, sf_dir):
     """Size labels, texts to embed and merged settings of documents."""
     d = table(spark, sf_dir, "documents")
     context, own = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" in "), "lang")), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(" ")
-    return d.select("doc_id", T.chinese_count(F.col("n_chars") * 20).alias("label"), T.embedding_text(context, F.substring("text", 1, 100)).alias("embedded"), T.merged_setting(own, F.lit("common")).alias("setting"))
+    return d.select("doc_id", T.chinese_count(F.col("n_chars") * 20).alias("label"), T.embedding_text(context, F.col("text")).alias("embedded"), T.merged_setting(own, F.lit("common")).alias("setting"))
 
 
 @query("""WITH s AS (SELECT conv_id, string_agg(role || '：' || rtrim(substring(text, 1, 200)), chr(10) ORDER BY turn) AS sources, list_distinct(flatten(list(CASE WHEN turn % 2 = 0 THEN ['/api/files/images/' || turn || '.png'] ELSE [] END))) AS i FROM conversations GROUP BY conv_id)

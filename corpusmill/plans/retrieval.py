@@ -14,6 +14,10 @@ from .registry import query
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
+#: Fixed value: how many signs of a source a prompt gets.
+SOURCE_SIGNS = 6000
+
+
 def terms_sql(column: str) -> str:
     return rf"list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))"
 
@@ -91,13 +95,13 @@ def stored(spark, sf_dir):
 
 
 def searching(spark, sf_dir):
-    """The stated query set: every stored document whose id is divisible by 50, its first 300 signs and its vector."""
-    return stored(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 300).alias("text"), F.col("embedding").alias("vector"))
+    """The stated query set: every stored document whose id is divisible by 50, its text and its vector."""
+    return stored(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "text", F.col("embedding").alias("vector"))
 
 
 #: Both channels over the active documents; ``{wide}`` candidates each, fused.
 RETRIEVE_SQL = f"""WITH stored AS (SELECT doc_id, text, embedding::DOUBLE[] AS e, coalesce(CASE WHEN doc_id % 7 = 3 THEN false WHEN doc_id % 5 <> 0 THEN true END, true) AS live FROM documents JOIN embeddings ON vec_id = doc_id),
-live AS (SELECT * FROM stored WHERE live), q AS (SELECT doc_id AS query_id, substring(text, 1, 300) AS text, e FROM stored WHERE doc_id % 50 = 0),
+live AS (SELECT * FROM stored WHERE live), q AS (SELECT doc_id AS query_id, text, e FROM stored WHERE doc_id % 50 = 0),
 tokens AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM live), tf AS (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id), lens AS (SELECT doc_id, count(*) AS len FROM tokens GROUP BY doc_id),
 asked AS (SELECT DISTINCT query_id, unnest({terms_sql('text')}) AS term FROM q), corpus AS (SELECT count(*) AS n, avg(len({terms_sql('text')})) AS avgdl FROM live), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), corpus GROUP BY query_id, doc_id),
@@ -155,10 +159,10 @@ def merged_bases(spark, sf_dir):
     return R.merge_bases(hits, "kb_id", 2, 6).select("query_id", "chunk_id", "kb_id", "score", "rank")
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] (' || source || ') ' || substring(text, 1, 60), chr(10) ORDER BY rank) AS refs FROM keyword JOIN documents ON doc_id = chunk_id GROUP BY query_id")
+@query(f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] (' || source || ') ' || substring(text, 1, 6000), chr(10) ORDER BY rank) AS refs FROM keyword JOIN documents ON doc_id = chunk_id GROUP BY query_id")
 def reference_blocks(spark, sf_dir):
-    """The cited context of each query: numbered sources in rank order, cut to 60 signs."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 60).alias("cut"))
+    """The cited context of each query: numbered sources in rank order, each with its first 6,000 signs."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, SOURCE_SIGNS).alias("cut"))
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.col("source"), F.lit(") "), F.col("cut"))
     hits = keyword_hits(spark, sf_dir).join(docs, "chunk_id").select("query_id", "rank", line.alias("line"))
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l")).select("query_id", F.array_join(F.col("l.line"), "\n").alias("refs"))
