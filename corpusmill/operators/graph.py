@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import versions
 from ..functions.text import json_object, normalized_name, strip
 from ..scratch import written
-from .retrieval import in_blocks
 
 
 def merged_entities(found: DataFrame, most_chars: int = 200) -> DataFrame:
@@ -46,6 +45,15 @@ def _described(merged: DataFrame, found: DataFrame, keys: list[str], most_chars:
     return merged.join(folded, same, "left").drop(*(f"_{k}" for k in keys)).withColumn("description", F.coalesce("description", F.lit("")))
 
 
+def bound_index(table: Column, value: Column, n: int) -> Column:
+    """How many of the ``n`` rising bounds of ``table`` are not above ``value``: a step for each bit of n."""
+    at = F.lit(0)
+    for bit in reversed(range(n.bit_length())):
+        step = at + F.lit(1 << bit)
+        at = F.when((step <= n) & (F.get(table, step - 1) <= value), step).otherwise(at)
+    return at
+
+
 def numbered(rows: DataFrame, prefix: str, range_rows: int = 20_000, most_ranges: int = 10_000) -> DataFrame:
     """Adds id: prefix and a dense number in order of ``first_seen``, without gathering the rows in one task.
 
@@ -57,7 +65,7 @@ def numbered(rows: DataFrame, prefix: str, range_rows: int = 20_000, most_ranges
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = (rows.agg(F.percentile_approx("first_seen", F.lit(cuts), max(10_000, 10 * ranges))).first()[0] or []) if cuts else []
     table = F.split(F.lit(",".join(map(str, sorted(set(bounds))))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    at = F.size(F.filter(table, lambda b: b <= F.col("first_seen")))
+    at = bound_index(table, F.col("first_seen"), len(set(bounds)))
     dealt = rows.withColumn("_range", at)
     before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # at most ``most_ranges`` rows
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -77,19 +85,34 @@ def merged_relations(found: DataFrame, most_chars: int = 200) -> DataFrame:
     return _described(merged, named, ["source", "target", "type"], most_chars) if {"description", "seq"} <= set(found.columns) else merged
 
 
+def _grams(c: Column, size: int) -> Column:
+    """The distinct runs of ``size`` signs of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size)))
+    return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
 def matched(entities: DataFrame, names: DataFrame) -> DataFrame:
     """Entities whose name equals an asked name, contains it or is contained in it: asked, name, type.
 
-    A contained name has two signs at least. ``names`` (asked) is a stated set; it goes to every task in
-    blocks that fit a broadcast.
+    A contained name has two signs at least. One name can only contain another if it has all its runs of
+    three signs (of two, where the other is that short), so the other's rarest one finds it: both ways are
+    joins on that run, and what they find is checked. No name meets all others.
     """
     asked = names.select(F.lower(normalized_name(F.col("asked"))).alias("asked")).where("asked <> ''").distinct()
-    n, a, found = F.lower(F.col("name")), F.col("asked"), None
-    for block in in_blocks(asked, 200):
-        hit = (n == a) | ((F.length(a) >= 2) & n.contains(a)) | ((F.length(n) >= 2) & a.contains(n))
-        some = entities.join(block, hit).select("asked", "name", "type")
-        found = some if found is None else found.unionByName(some)
-    return found
+    own = entities.select("name").distinct().withColumn("n", F.lower("name"))
+    runs = lambda c: F.explode(F.concat(_grams(c, 3), _grams(c, 2)))
+    of_own = written(own.select("name", "n", runs(F.col("n")).alias("gram")), "grams")
+    often = written(of_own.groupBy("gram").agg(F.count("*").alias("df")), "gram-counts")
+    of_asked = asked.select("asked", runs(F.col("asked")).alias("gram"))
+    # the rarest run of those a name must be looked up by; a run that no entity has rules the name out
+    wide = lambda c: F.length("gram") == F.least(F.length(c), F.lit(3))
+    rarest = F.min_by("gram", F.struct("df", "gram"))
+    by_own = of_own.where(wide("n")).join(often, "gram").groupBy("name", "n").agg(rarest.alias("gram"))
+    by_asked = of_asked.where(wide("asked")).join(often, "gram", "left").groupBy("asked").agg(rarest.alias("gram"), F.count_if(F.col("df").isNull()).alias("unknown")).where("unknown = 0")
+    inside = by_own.join(of_asked, "gram").where(F.contains("asked", "n")).select("asked", "name")
+    around = of_own.join(by_asked, "gram").where(F.contains("n", "asked")).select("asked", "name")
+    same = own.join(asked, F.col("n") == F.col("asked")).select("asked", "name")
+    return entities.select("name", "type").join(inside.unionByName(around).unionByName(same).distinct(), "name").select("asked", "name", "type")
 
 
 # The types that extraction may give.
@@ -176,13 +199,34 @@ def read_graph(spark: SparkSession, path: str, entities: str, relations: str) ->
     return spark.createDataFrame([], entities), spark.createDataFrame([], relations)
 
 
+def reached_from(relations: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, name, hop of all names that each of ``starts`` (start) reaches, in as few steps as it takes, ``hops`` at most.
+
+    Only names met for the first time go on, so a step reads what the one before has found and no more; it
+    ends early where nothing new is met.
+    """
+    both = relations.select(F.col("source").alias("name"), F.col("target").alias("next")).unionByName(relations.select(F.col("target").alias("name"), F.col("source").alias("next"))).distinct()
+    front = written(starts.where("start IS NOT NULL").select("start", F.col("start").alias("name"), F.lit(0).alias("hop")).distinct(), "front")
+    known = front
+    for hop in range(1, hops + 1):
+        met = front.join(both, "name").select("start", F.col("next").alias("name")).distinct()
+        front = written(met.join(known, ["start", "name"], "left_anti").withColumn("hop", F.lit(hop)), "front")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
+
+
 def neighbours(relations: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
     """Names reached from ``start`` (name) in at most ``hops`` steps, those of the start included."""
-    both = relations.select(F.col("source").alias("name"), F.col("target").alias("next")).union(relations.select("target", "source"))
-    reached = start.select("name").distinct()
-    for _ in range(hops):
-        reached = reached.union(both.join(reached, "name", "left_semi").select("next")).distinct()
-    return reached
+    both = relations.select(F.col("source").alias("name"), F.col("target").alias("next")).unionByName(relations.select(F.col("target").alias("name"), F.col("source").alias("next")))
+    front = start.select("name").distinct()
+    known = front
+    for hop in range(hops):
+        met = both.join(front, "name", "left_semi").select(F.col("next").alias("name")).distinct().join(known, "name", "left_anti")
+        front = met if hop == hops - 1 else written(met, "front")
+        known = known.unionByName(front)
+    return known
 
 
 def induced(relations: DataFrame, names: DataFrame) -> DataFrame:

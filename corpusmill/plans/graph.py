@@ -65,6 +65,16 @@ def graph_neighbourhood(spark, sf_dir):
     return G.induced(edges, G.neighbours(edges, spark.range(1, 21).select(F.col("id").alias("name")), hops=2))
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT source, target FROM {EDGES_SQL} UNION SELECT target, source FROM {EDGES_SQL}),
+r AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS hop FROM part WHERE p_partkey % 50 = 0 UNION SELECT r.start, e.target, r.hop + 1 FROM r JOIN e ON e.source = r.name WHERE r.hop < 4)
+SELECT start, name, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY start, name""")
+def graph_reach(spark, sf_dir):
+    """What every part whose key is divisible by 50 reaches in four steps, and in how many."""
+    edges = table(spark, sf_dir, "part").where("p_partkey <> p_partkey * 7 % 1999").select(F.col("p_partkey").alias("source"), F.expr("p_partkey * 7 % 1999").alias("target"))
+    starts = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"))
+    return G.reached_from(edges, starts, 4)
+
+
 def verdicts(spark, sf_dir):
     """Three verdicts per document."""
     v = F.array(*((F.col("n_chars") / k).cast("int") % 2 for k in (1, 2, 4)))
