@@ -7,6 +7,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_object, strip
 from .chunking import chunked, pieces_of
 from .structure import headings
 
@@ -25,6 +26,17 @@ def label(c: Column) -> Column:
     return F.when(bare.isin(LABELS), bare).otherwise(OTHER_LABEL)
 
 
+def model_chunks(answers: DataFrame, id_col: str, answer_col: str) -> DataFrame:
+    """id, n, text, label of the chunks in a model's answers: a JSON object with chunks, fenced, bare or among other text.
+
+    Chunks without text are left out, n counts those that stay from 0; unknown labels become that for all others.
+    An answer without such an object gives no rows.
+    """
+    read = answers.select(F.col(id_col), json_object(F.col(answer_col), "chunks array<struct<text: string, label: string>>").alias("o"))
+    kept = F.filter("o.chunks", lambda c: F.coalesce(strip(c["text"]), F.lit("")) != "")
+    return read.select(id_col, F.posexplode(kept).alias("n", "c")).select(id_col, "n", strip(F.col("c.text")).alias("text"), label(F.col("c.label")).alias("label"))
+
+
 def image_urls(c: Column) -> Column:
     """Distinct addresses of stored images in a text, in order."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"/api/files/images/[^\s)\"'<>\]]+"), F.lit(0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def usable_rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """Adds rerank_score (missing ones filled with the query's least) and rank: the reranker's order, or the old one
@@ -24,6 +26,48 @@ def contexts(hits: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
 
 
+def cited(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, rank, score, vector_score) as sources: with the chunk's fields, scores of four digits.
+
+    ``chunks``: chunk_id, text, retrieval_mode, parent_text and more. The parent's text is given only where
+    the mode is ``parent`` and there is one.
+    """
+    parent = F.when((F.col("retrieval_mode") == "parent") & (F.col("parent_text") != ""), F.col("parent_text"))
+    shown = chunks.withColumn("parent_text", parent).drop("retrieval_mode")
+    return hits.join(shown, "chunk_id").withColumns({"score": F.round("score", 4), "vector_score": F.round("vector_score", 4)})
+
+
+def with_graph_source(sources: DataFrame, graph: DataFrame) -> DataFrame:
+    """``sources`` (query_id, rank, chunk_id string, document_name, text, score) and, behind the last of each query, its text from the graph (query_id, context) with score 0.
+
+    A query without sources gets it at rank 1; an empty text gives none.
+    """
+    last = sources.groupBy("query_id").agg(F.max("rank").alias("_last"))
+    told = graph.where(F.coalesce(F.trim("context"), F.lit("")) != "").join(last, "query_id", "left")
+    pseudo = told.select("query_id", (F.coalesce("_last", F.lit(0)) + 1).cast(sources.schema["rank"].dataType).alias("rank"), F.concat(F.lit("kg:"), F.col("query_id").cast("string")).alias("chunk_id"), F.lit("知识图谱").alias("document_name"), F.col("context").alias("text"), F.lit(0.0).alias("score"))
+    return sources.select(*pseudo.columns).unionByName(pseudo)
+
+
+def with_contexts(samples: DataFrame, hits: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
+    """``samples`` (query_id and more) with contexts: the texts of their best ``top`` hits, white space around them and empty ones left out; none where nothing was found."""
+    found = contexts(hits, chunks, top)
+    bare = F.filter(F.transform("contexts", strip), lambda t: t != "")
+    return samples.join(found.withColumn("contexts", bare), "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+
+
+def mean_scores(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, sources, mean_score of each query; null where it has no hits."""
+    found = hits.groupBy("query_id").agg(F.count("*").alias("sources"), F.avg("score").alias("mean_score"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+
+
+def distinct_in_order(hits: DataFrame, column: str) -> DataFrame:
+    """query_id and the distinct values of ``column`` in the order in which a query's ranking has them first."""
+    first = hits.where(F.col(column).isNotNull()).groupBy("query_id", column).agg(F.min("rank").alias("rank"))
+    listed = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", column))).alias("l"))
+    return listed.select("query_id", F.col(f"l.{column}").alias(column))
+
+
 def index_status(vectors: DataFrame, base_col: str, vector_col: str, dim: int) -> DataFrame:
     """Per base: vectors, dim (the least), status (ok, mixed or mismatch with the model's ``dim``)."""
     size = F.size(vector_col)

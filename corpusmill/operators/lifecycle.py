@@ -28,6 +28,22 @@ def manageable(base_department: Column, role: Column, department: Column) -> Col
     return F.coalesce((role == "super_admin") | ((role == "dept_admin") & (base_department != "") & (base_department == department)), F.lit(False))
 
 
+def checked_pages(pages) -> list[tuple[int, int]]:
+    """Ranges of pages (from, to), whole numbers from 1 with from <= to, one range at least; others are an error."""
+    if not isinstance(pages, (list, tuple)) or not pages:
+        raise ValueError(f"pages {pages!r} are no ranges")
+    for r in pages:
+        if not isinstance(r, (list, tuple)) or len(r) != 2 or any(type(x) is not int for x in r) or not 1 <= r[0] <= r[1]:
+            raise ValueError(f"{r!r} is no range of pages")
+    return [tuple(r) for r in pages]
+
+
+def in_pages(rows: DataFrame, pages, page: str = "page") -> DataFrame:
+    """Rows whose page lies in one of the ranges."""
+    ranges = checked_pages(pages)
+    return rows.where(F.greatest(F.lit(False), *(F.coalesce(F.col(page).between(a, b), F.lit(False)) for a, b in ranges)))
+
+
 @dataclass(frozen=True)
 class ChunkSettings:
     """Parameters of chunking within their bounds; others are an error."""
@@ -36,8 +52,11 @@ class ChunkSettings:
     overlap: int = 50
     level: int = 3
     parent_size: int = 2000
+    pages: tuple[tuple[int, int], ...] | None = None
 
     def __post_init__(self):
+        if self.pages is not None:
+            checked_pages(self.pages)
         if not 50 <= self.chunk_size <= 20_000:
             raise ValueError(f"chunk_size {self.chunk_size} is not within 50 and 20000")
         if not 0 <= self.overlap < self.chunk_size:

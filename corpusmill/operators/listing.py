@@ -58,6 +58,28 @@ def listed(docs: DataFrame, kb_id: str | None = None, trash: bool = False) -> Da
     return rows.orderBy(F.desc_nulls_last("deleted_at" if trash else "created_at"), "doc_id")
 
 
+def sliced(samples: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Samples ``offset`` to ``offset + limit`` of each dataset by their idx (from 0), all that follow without a limit."""
+    rows = samples.where(F.col("idx") >= offset)
+    return rows if limit is None else rows.where(F.col("idx") < offset + limit)
+
+
+def nested(rows: DataFrame, departments: DataFrame) -> DataFrame:
+    """department_id, department_name, place, bases: the listed documents by department and base.
+
+    ``rows``: department_id, kb_id, kb_name, doc_id, n (their order on the page listed, which is what bounds a group);
+    ``departments``: department_id, department_name, created_at. Departments are in order of creation, ``place``
+    from 1, unknown ones and documents without one at the end; those without documents are left out. Bases are in
+    the order of their first document, documents in theirs.
+    """
+    docs = F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda x: x["doc_id"])
+    bases = rows.groupBy("department_id", "kb_id").agg(F.min("n").alias("n"), F.min_by("kb_name", "n").alias("kb_name"), docs.alias("docs"))
+    groups = bases.groupBy("department_id").agg(F.min("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("n", "kb_id", "kb_name", "docs"))), lambda b: b.dropFields("n")).alias("bases"))
+    known = groups.join(departments.select("department_id", "department_name", "created_at"), "department_id", "left")
+    order = Window.orderBy(F.asc_nulls_last("created_at"), F.col("department_id").isNull(), "n")  # a row a department
+    return known.select("department_id", F.coalesce("department_name", F.lit("未分配部门")).alias("department_name"), F.row_number().over(order).alias("place"), "bases")
+
+
 def paged(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page and, in each of its rows, total: how many rows there are in all."""
     return page(rows, order, number, size).join(F.broadcast(rows.agg(F.count("*").alias("total"))))

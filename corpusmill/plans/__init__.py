@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from . import chunks, context, graph, lifecycle, metadata, quality, retrieval, structure  # noqa: F401
+from . import chunks, context, details, graph, lifecycle, metadata, quality, retrieval, structure  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
