@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Fields of a header line by version; the URL may hold blanks in files of careless writers.
 FIELDS = {
     1: ["url", "address", "date", "type", "length"],
@@ -191,19 +193,23 @@ def _lines(r: dict, kind: str) -> list[tuple[str, str | None]]:
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, level: int = 6) -> None:
     """ARC files to WARC files. Payloads of fewer than ``least_bytes`` bytes are never revisits.
 
-    The first pass over the archives gives ids and digests only; its pre-aggregated minimum per
-    digest is joined to the second pass, a plain join that may split a digest that very many records
-    share. The second pass sends whole records, compressed; a record that turns out to be a revisit is
-    written anew from its headers. Of equal payloads with equal or no source ids the least record id is the
-    response; empty archives give an archive without records.
+    The first pass over the archives gives ids and digests only, and from them, a row each, the records that
+    are revisits; a digest that very many records share is a hot key of that slim join alone, whose sides are
+    both shuffled for it, so that it can be split. The second pass sends whole records, compressed, by their own
+    ids; a record that turns out to be a revisit is written anew from its headers. Of equal payloads with equal
+    or no source ids the least record id is the response; empty archives give an archive without records.
     """
     order = F.struct(F.expr("try_cast(source_id as bigint)").isNull().alias("a"), F.expr("try_cast(source_id as bigint)").alias("b"), F.col("source_id").alias("c"), F.col("record_id").alias("d"))
-    firsts = read_arc(spark, arc_path, with_payload=False).where(F.col("record_type") == "response").groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"))
-    firsts = firsts.select("payload_digest", "payload_bytes", F.col("first.c").alias("first_source"), F.col("first.d").alias("first_record"))
+    slim = read_arc(spark, arc_path, with_payload=False).where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes))
+    slim = written(slim.select("record_id", "payload_digest", "payload_bytes", order.alias("place")), "arc-records")
+    firsts = slim.groupBy("payload_digest", "payload_bytes").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = written(firsts.select("payload_digest", "payload_bytes", F.col("first.c").alias("first_source"), F.col("first.d").alias("first_record")), "arc-firsts")
+    # the same plans at every size: how many payloads repeat grows with the archives
+    revisits = slim.join(firsts.hint("merge"), ["payload_digest", "payload_bytes"]).where("first_record <> record_id").select("record_id", "first_source", "first_record")
+    revisits = written(revisits, "arc-revisits")
     more = [("head", "binary"), ("member", "binary")]
     whole = _parsed(spark, arc_path, more, lambda r: {"head": r["head"], "member": _member(_lines(r, r["record_type"]), r["head"] + r["payload"], level)})
-    revisit = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes) & (F.col("first_record") != F.col("record_id"))
-    rows = whole.join(firsts, ["payload_digest", "payload_bytes"], "left").withColumn("again", F.coalesce(revisit, F.lit(False)))
+    rows = whole.join(revisits.hint("merge"), "record_id", "left").withColumn("again", F.col("first_record").isNotNull())
     rows = rows.select(*(n for n, _ in _META), "first_source", "first_record", "head", "again", F.when(~F.col("again"), F.col("member")).alias("member"))
 
     def finish(batches):
