@@ -90,8 +90,10 @@ def ball_points(fp: Column) -> Column:
 def _crowded(points: DataFrame) -> DataFrame:
     """fp and the least fp of its point, for points that hold two or more."""
     held = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    # the same plan at every size: how many points are held grows with the corpus
-    return points.join(held.select("point", "least").hint("merge"), "point").select("fp", "least")
+    # written, since a join with an aggregate by the same key cannot be split where a point is crowded; the same
+    # plan at every size: how many points are held grows with the corpus
+    held = written(held.select("point", "least"), "points")
+    return points.join(held.hint("merge"), "point").select("fp", "least")
 
 
 def linked(distinct: DataFrame, segments: int = 32) -> DataFrame:
