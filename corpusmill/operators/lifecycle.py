@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
+from ..scratch import written
 from ..sources import versions
 
 
@@ -95,7 +96,7 @@ def ingested(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Ca
     """
     from .chunking import question_statistics
 
-    chunks = chunk(docs).withColumn("embedding", embed(F.col("text")))
+    chunks = written(chunk(docs).withColumn("embedding", embed(F.col("text"))), "embedded")  # the model sees each text once
     counted = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).alias("bad"))
     state = docs.select("doc_id", "kb_id", F.coalesce(F.length(F.trim("text")), F.lit(0)).alias("n")).join(counted, "doc_id", "left")
     if qa_only:

@@ -59,6 +59,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     row per chunk. Texts are cut into terms once: what the queries need of the index is written, and serves
     counts and scores, while the lengths of all chunks are summed on the way.
     """
+    return top(_scored(chunks, queries, id_col, text_col, query_id, query_text), top_k)
+
+
+def _scored(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
+    """query_id, chunk_id, score of all chunks with a score above 0."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("term IS NOT NULL")
     corpus = Observation()  # number and lengths of all chunks, seen while their terms pass by
     tokens = _tokens(chunks, id_col, text_col).observe(corpus, F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("length"))
@@ -68,13 +73,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (length / max(n, 1) or 1)))
     scored = wanted.join(df, "term").select("term", "chunk_id", part.alias("part"))
-    totals = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return top(totals, top_k)
+    return scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
 
 
 def fields_search(chunks: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], query_id: str, query_text: str, top_k: int) -> DataFrame:
     """Keyword search over several columns: the sum of each column's scores times its weight, the best ``top_k``."""
-    parts = [bm25(chunks, queries, id_col, c, query_id, query_text, 1 << 30).withColumn("score", F.col("score") * w) for c, w in fields.items()]
+    parts = [_scored(chunks, queries, id_col, c, query_id, query_text).withColumn("score", F.col("score") * w) for c, w in fields.items()]
     united = parts[0]
     for p in parts[1:]:
         united = united.unionByName(p)

@@ -65,8 +65,8 @@ def rebuild_report(spark, sf_dir):
 def retained_log(spark, sf_dir):
     """Log entries of the last fourteen days."""
     e = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
-    last = e.agg(F.max("day")).first()[0]
-    return X.retained(e, "day", F.lit(last), 14).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    last = e.agg(F.max("day").alias("_last"))  # one row
+    return X.retained(e.join(F.broadcast(last)), "day", F.col("_last"), 14).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT conv_id AS dataset_id, CASE WHEN turn > 2 THEN turn - 1 ELSE turn END AS idx, CASE WHEN turn = 1 THEN 'changed' ELSE role END AS question FROM conversations WHERE turn <> 2 UNION ALL SELECT conv_id, count(*) FILTER (turn <> 2), 'added' FROM conversations GROUP BY conv_id")
