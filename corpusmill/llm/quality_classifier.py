@@ -98,9 +98,11 @@ def fitted(rows, bits: int, folds: int, **settings) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 24_000, shards: int = 4, shard_rows: int = 2_000, bits: int = 18, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 4) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 24_000, shards: int = 4, shard_rows: int = 2_000, bits: int = 18, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 4, folds: int = 5) -> np.ndarray:
     """Weights averaged over the shards, as many as have ``shard_rows`` rows each, one at least.
 
+    The margins of each are scaled by those that ``folds`` models, at every size as many, give to rows they have not seen.
+
     Rows without an id or label are left out; without rows all weights are 0. An id that repeats in
     ``docs`` or ``labels`` counts once for each pair; rows stand in the order of a hash of the id, ties
     in that of label and columns. Whole texts are hashed where they are read, so a worker that trains
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             for label, columns, shard in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 kept.setdefault(shard, []).append((columns.values.to_numpy().astype(np.int64), label))
         for shard, own in kept.items():
-            w = fitted(own, bits, 3 if len(own) >= 1000 else 10, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+            w = fitted(own, bits, folds, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at), pa.array(w[at])], names=["shard", "i", "w"])
 
