@@ -113,15 +113,15 @@ def pivots(table: DataFrame, space: Space, n: int, sample: int = 4096) -> np.nda
     return x[spread_out(x, n)]
 
 
-def nearest(table: DataFrame, at: np.ndarray, space: Space, queries: bool = False) -> DataFrame:
-    """Adds cell (the number of the nearest pivot) and d (the distance to it). ``table`` has x; with ``queries`` its rows count as such."""
+def nearest(table: DataFrame, at: np.ndarray, space: Space) -> DataFrame:
+    """Adds cell (the number of the nearest pivot) and d (the distance to it) to points. ``table`` has x."""
     kind = StructType([*table.schema.fields, StructField("cell", IntegerType()), StructField("d", DoubleType())])
     dim, most = space.dim, space.most
 
     def each(batches):
         for batch in batches:
             x = matrix(batch.column(batch.schema.get_field_index("x")), dim)
-            d = distances(as_queries(x) if queries else on_sphere(x, most), at)
+            d = distances(on_sphere(x, most), at)
             cell = d.argmin(1) if d.size else np.zeros(len(x), np.int64)
             found = [pa.array(cell, pa.int32()), pa.array(d[np.arange(len(x)), cell], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "cell", "d"])
