@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vectors import cosine, norm
 from ..scratch import written
+from . import products
 
 #: Constants of the keyword score and of rank fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -54,25 +55,60 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     """The best ``top_k`` chunks of each query with a score above 0: query_id, chunk_id, score, rank.
 
     idf is ln(1 + (N - df + .5) / (df + .5)) over all chunks; each distinct term of a query counts
-    once. Only postings of terms that occur in a query are scored: the query terms meet the index in
-    a hash join, broadcast if small. Counts are pre-aggregated, so a very common term shuffles one
-    row per chunk. Texts are cut into terms once: what the queries need of the index is written, and serves
-    counts and scores, while the lengths of all chunks are summed on the way.
+    once. Only postings of terms that occur in a query are scored. Counts are pre-aggregated, so a very common
+    term shuffles one row per chunk. Texts are cut into terms once: what the queries need of the index is
+    written, and serves counts and scores, while the lengths of all chunks are summed on the way. Chunks and
+    queries meet as pages and blocks (``products``), so that no pair of them is ever a row.
     """
-    return top(_scored(chunks, queries, id_col, text_col, query_id, query_text), top_k)
+    asked, wanted, n, length = _wanted(chunks, queries, id_col, text_col, query_id, query_text)
+    numbered = wanted.groupBy("term").agg(F.count("*").alias("df")).withColumn("number", F.monotonically_increasing_id())
+    numbered = written(numbered.select("term", "number", _weight(n).alias("weight")), "terms")
+    parts = wanted.join(numbered, "term").select("chunk_id", F.struct("number", _part(n, length).alias("part")).alias("p"))
+    listed = parts.groupBy("chunk_id").agg(F.collect_list("p").alias("p")).select("chunk_id", "p.number", "p.part")  # a chunk's terms
+    of_query = asked.join(numbered, "term").groupBy("query_id").agg(F.collect_set("number").alias("number"))
+    ids, names = (d.schema[c].dataType.simpleString() for d, c in ((listed, "chunk_id"), (of_query, "query_id")))
+    pages = listed.mapInArrow(products.weight_pages, f"ids array<{ids}>, terms binary, rows binary, parts binary")
+    of_query = written(of_query, "asked-terms")
+    blocks = _blocks(of_query, products.term_blocks, f"query_ids array<{names}>, asked binary, queries binary")
+    width = of_query.agg(F.max(F.size("number"))).first()[0] or 1
+    found = None
+    for block in in_blocks(blocks, products.BLOCK * (16 + 12 * width)):
+        scored = pages.join(block).mapInArrow(lambda b: products.heaviest(b, top_k), f"query_id {names}, chunk_id {ids}, score double")
+        best = top(scored.withColumn("score", F.round("score", 6)).where("score > 0"), top_k)
+        found = best if found is None else found.unionByName(best)  # a query is in one block
+    return found
 
 
-def _scored(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
-    """query_id, chunk_id, score of all chunks with a score above 0."""
+def _blocks(queries: DataFrame, pack: Callable, schema: str) -> DataFrame:
+    """``queries`` packed into blocks by ``pack``, written."""
+    return written(queries.repartition(max(1, -(-queries.count() // products.BLOCK)), "query_id").mapInArrow(pack, schema), "blocks")
+
+
+def _wanted(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """query_id and term of the queries; the postings of these terms, written; number and lengths of all chunks."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(F.array_distinct(terms(F.col(query_text)))).alias("term")).where("term IS NOT NULL")
+    asked = written(asked, "asked")
     corpus = Observation()  # number and lengths of all chunks, seen while their terms pass by
     tokens = _tokens(chunks, id_col, text_col).observe(corpus, F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("length"))
     wanted = written(_postings(tokens).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
-    n, length = corpus.get["n"], corpus.get["length"] or 0
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (length / max(n, 1) or 1)))
-    scored = wanted.join(df, "term").select("term", "chunk_id", part.alias("part"))
+    return asked, wanted, corpus.get["n"], corpus.get["length"] or 0
+
+
+def _weight(n: int) -> Column:
+    """idf of a term that ``df`` of ``n`` chunks have."""
+    return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _part(n: int, length: int) -> Column:
+    """What a term adds to a chunk's score: weight, tf, doc_len."""
+    return F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (length / max(n, 1) or 1)))
+
+
+def _scored(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
+    """query_id, chunk_id, score of all chunks with a score above 0."""
+    asked, wanted, n, length = _wanted(chunks, queries, id_col, text_col, query_id, query_text)
+    df = wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", _weight(n).alias("weight"))
+    scored = wanted.join(df, "term").select("term", "chunk_id", _part(n, length).alias("part"))
     return scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
 
 
@@ -94,18 +130,47 @@ def top(scored: DataFrame, top_k: int) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, top_k: int) -> DataFrame:
     """Exact cosine search of a stated set of queries (query_id, vector): query_id, chunk_id, score, rank.
 
-    The queries travel to the vectors' partitions in blocks that fit a broadcast, whatever their number;
-    each partition keeps its best ``top_k`` per query before the shuffle (a window group limit), so what
-    is shuffled is top_k rows per query and partition.
+    Vectors are packed into pages where they lie, queries into blocks that travel to them (``products``); what is
+    shuffled is little more than top_k rows per query and task. Similarity with a zero vector, or one that is null
+    or holds null, is 0. Vectors of another length or with numbers that are not finite go a plainer way.
     """
-    own = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("nv"))
+    own = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"))
     # written, since a query's vector may come from a model
-    asked = written(queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq")), "asked")
+    asked = written(queries.select("query_id", F.col("vector").alias("q")), "asked")
     width = asked.agg(F.max(F.size("q"))).first()[0] or 1
+    ids, names = (d.schema[c].dataType.simpleString() for d, c in ((own, "chunk_id"), (asked, "query_id")))
+    pages = _plain(own, "v", width).mapInArrow(lambda b: products.vector_pages(b, width, top_k), f"ids array<{ids}>, x binary")
+    blocks = _blocks(_plain(asked, "q", width), lambda b: products.vector_blocks(b, width), f"query_ids array<{names}>, q binary")
+    found = _by_pairs(own.where(~_is_plain("v", width)), asked, width)
+    odd = asked.where(~_is_plain("q", width))
+    if not odd.isEmpty():
+        found = found.unionByName(_by_pairs(own.where(_is_plain("v", width)), odd, width))
+    for block in in_blocks(blocks, products.BLOCK * (16 + 8 * width)):
+        near = pages.join(block).mapInArrow(lambda b: products.nearest(b, width, top_k), f"query_id {names}, chunk_id {ids}, score double")
+        found = found.unionByName(near.withColumn("score", F.round("score", 6)))
+    return top(found, top_k)
+
+
+def _is_plain(column: str, width: int) -> Column:
+    """Is a vector null or one of ``width`` numbers that are null or finite, and no product of two overflows?"""
+    fit = F.forall(column, lambda x: F.coalesce(F.abs(x.cast("double")) < 1e150, F.lit(True)))
+    return F.col(column).isNull() | ((F.size(column) == width) & fit)
+
+
+def _plain(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """The rows with plain vectors, as doubles; zeros for null and for one that holds null."""
+    whole = F.coalesce(F.forall(column, lambda x: x.isNotNull()), F.lit(False))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return rows.where(_is_plain(column, width)).withColumn(column, F.when(whole, F.col(column).cast("array<double>")).otherwise(zeros))
+
+
+def _by_pairs(own: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """query_id, chunk_id, score of all pairs, for the few vectors that fit no page."""
+    own = own.withColumn("nv", norm(F.col("v")))
     found = None
-    for block in in_blocks(asked, 32 + 8 * width):
+    for block in in_blocks(asked.withColumn("nq", norm(F.col("q"))), 32 + 8 * width):
         scored = own.join(block).select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
-        found = top(scored, top_k) if found is None else found.unionByName(top(scored, top_k))  # a query is in one block
+        found = scored if found is None else found.unionByName(scored)
     return found
 
 
@@ -155,6 +220,7 @@ def retrieve(
     hits = fuse(near, words if hybrid else words.where("false"), wide, min_score)
     if not reranker:
         return hits.withColumn("rerank_score", F.lit(None).cast("double"))
+    hits = written(hits, "hits")  # a reranker reads them too
     texts = hits.join(live.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     return rerank(hits, reranker(texts), top_k)
 
