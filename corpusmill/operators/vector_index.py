@@ -22,17 +22,14 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from ..sources import versions
-from .retrieval import top
+from . import products
+from .products import matrix as _matrix
+from .retrieval import in_blocks, top
 
 #: Vectors in a page, queries in a block, cells at most, vectors the centres are fitted on.
 PAGE, BLOCK, MOST_CELLS, SAMPLE = 1024, 512, 4096, 50_000
 
 
-def _matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
-    """A column of lists of ``dim`` numbers as rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows as they are."""
     size = np.linalg.norm(x, axis=1, keepdims=True)
@@ -128,11 +125,13 @@ def _centres(index: versions.Version, spark: SparkSession) -> np.ndarray:
     return np.array([r.centre for r in index.read(spark, "centres").orderBy("cell").collect()])
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int, probes: int = 16, widen: int = 4) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int, probes: int = 16, widen: int = 4, exact: bool = False) -> DataFrame:
     """The ``top_k`` nearest vectors of each query (query_id, vector) by the index: query_id, chunk_id, score, rank.
 
     ``probes``: how many cells a query is sent to; with all of them, and ``widen`` times ``top_k`` candidates that
     are scored exactly, the result is that of a search of all vectors but for candidates that the codes misjudge.
+    ``exact``: the score that ``top_k`` of these reach then rules out the pages whose vectors are all too far from
+    a query, by their distance from the centre; all others are scored, and the result is that of a search of all vectors.
     Scores have six digits, ties are in order of chunk_id. Vectors that are null or not of the index's length are an error.
     """
     index = versions.current(spark, path)
@@ -180,7 +179,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int, probe
     # a block's candidates of a page: BLOCK * wide at most
     wanted = chosen.groupBy(*page, spread.alias("block")).agg(F.collect_list(F.struct("query_id", "nth", "q")).alias("wanted"))
 
-    def exact(batches):
+    def rescored(batches):
         for b in batches:
             for i, x in enumerate(b.column("x").to_pylist()):
                 wanted = b.column("wanted")[i].values
@@ -190,5 +189,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int, probe
                 score = np.where(size > 0, (q * rows).sum(1) / np.where(size > 0, size, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([wanted.field("query_id"), b.column("ids")[i].values.take(pa.array(nth)), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
-    scored = wanted.join(pages.select(*page, "ids", "x"), page).mapInArrow(exact, f"query_id {kind}, chunk_id {ids}, score double")
-    return top(scored.withColumn("score", F.round("score", 6)), top_k)
+    scored = wanted.join(pages.select(*page, "ids", "x"), page).mapInArrow(rescored, f"query_id {kind}, chunk_id {ids}, score double")
+    found = top(scored.withColumn("score", F.round("score", 6)), top_k)
+    if not exact:
+        return found
+    reached = found.groupBy("query_id").agg(F.when(F.count("*") >= top_k, F.min("score")).alias("floor"))
+    floored = asked.join(reached, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    blocks = written(floored.repartition(max(1, -(-n // products.BLOCK)), "query_id").mapInArrow(lambda b: products.vector_blocks(b, dim), f"query_ids array<{kind}>, q binary, floors binary"), "floors")
+    found = None
+    for some in in_blocks(blocks, products.BLOCK * (24 + 8 * dim)):
+        near = pages.select("cell", "ids", "x").join(some).mapInArrow(lambda b: products.nearest(b, dim, top_k, np.float32, centres), f"query_id {kind}, chunk_id {ids}, score double")
+        best = top(near.withColumn("score", F.round("score", 6)), top_k)
+        found = best if found is None else found.unionByName(best)  # a query is in one block
+    return found
