@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,9 +120,14 @@ def rewritten_images(text: Column, prefix: str) -> Column:
 
 def shared_share(answer: Column, source: Column, width: int = 4) -> Column:
     """The share of an answer's distinct windows of ``width`` signs that the source has too; 0 for shorter answers."""
-    windows = lambda c: F.when(F.length(c) >= width, F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substring(c, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
-    a, b = F.array_distinct(windows(answer)), windows(source)
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def share(answers: pd.Series, sources: pd.Series) -> pd.Series:
+        windows = lambda t: {t[i : i + width] for i in range(len(t) - width + 1)}
+        both = ((windows(a or ""), windows(b or "")) for a, b in zip(answers, sources, strict=True))
+        return pd.Series([len(a & b) / len(a) if a else 0.0 for a, b in both], dtype=float)
+
+    return share(answer, source)
 
 
 def newest_sessions(turns: DataFrame, key: str, time: str, most: int) -> DataFrame:
