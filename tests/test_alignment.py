@@ -137,3 +137,26 @@ def test_random_cuts_with_edits_are_found():
             changed = [*words[a:at], "Z", *words[at + 1 : b]]
             spans = A.aligned_spans(text, [*pieces[:n], " ".join(changed), *pieces[n + 1 :]])
             assert spans[n][0] == starts[n] and spans[n][1] >= starts[n] + len(" ".join(words[a:at])) and [s for i, s in enumerate(spans) if i != n] == [(s, s + len(p)) for i, (s, p) in enumerate(zip(starts, pieces)) if i != n]
+
+
+def test_no_row_for_a_sign(spark):
+    """Ranges and shares are found within a pair: neither a join nor a shuffle by grams."""
+    rows = spark.createDataFrame([(1, "the lazy dog", "a lazy dog")], "i int, a string, s string")
+    assert "Join" not in A.highlights(rows, "i", "a", "s")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in rows.select(X.shared_share(F.col("a"), F.col("s")))._jdf.queryExecution().toString()
+    shares = spark.createDataFrame([("abcdef", "xabcdex"), (None, "abcd"), ("abcd", None), ("abc", "abc"), ("🙂🙂🙂🙂a", "🙂🙂🙂🙂")], "a string, s string")
+    assert [round(r[0], 6) for r in shares.select(X.shared_share(F.col("a"), F.col("s"))).collect()] == [0.666667, 0.0, 0.0, 0.0, 0.5]
+
+
+def test_no_object_for_a_gram():
+    """A long text of rare grams is put back without a dictionary of them."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300_000))
+    tracemalloc.start()
+    (span,) = A.aligned_spans(text, [text[1000:200_000]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(text[slice(*span)].split()) == "".join(text[1000:200_000].split()) and most < 60 << 20
