@@ -33,11 +33,13 @@ def _byte_signs() -> dict[int, str]:
 class ChunkIds(dict):
     """Chunk without its leading space -> ids of " " + chunk as little-endian uint32 bytes.
 
-    Holds at most ``most`` chunks, and half as many pre-tokens; when full it starts anew, so memory stays bounded.
+    Holds at most half of ``most`` chunks, and as many that were met before: when full it becomes the one before and starts
+    anew, so frequent chunks stay and memory is bounded. Other pre-tokens than words after a space are in ``parts``, a third as many.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -53,7 +55,7 @@ class ChunkIds(dict):
     def part(self, text: str) -> bytes:
         """The ids of one pre-token."""
         if (out := self.parts.get(text)) is None:
-            if len(self.parts) >= self.most // 2:
+            if len(self.parts) >= self.most // 3:
                 self.parts.clear()
             if self.model:
                 out = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]).tobytes()
@@ -75,16 +77,27 @@ class ChunkIds(dict):
             return b"".join(self.part(x) for x in m.groups() if x)
         return self.encoded(chunk)
 
+    def word(self, letters: str) -> bytes:
+        """The ids of a word with a space before it, which is one pre-token."""
+        if not self.model:
+            return self.encoded(" " + letters)
+        signs = self.signs[0x20] + letters if letters.isascii() else (" " + letters).encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
+        if (out := self.before.get(chunk)) is None:
+            if not (m := _PLAIN.fullmatch(chunk)):
+                out = self.encoded(" " + chunk)
+            elif len(m[1]) == len(chunk):
+                out = self.word(chunk)
+            else:
+                out = self[m[1]] + b"".join([self.part(x) for x in m.groups()[1:] if x])
+            if "\n" in chunk:
+                return out
+        if len(self) >= self.most // 2:
+            self.before = dict(self)
             self.clear()
-        if m := _PLAIN.fullmatch(chunk):
-            first, *rest = m.groups()
-            out = self.part(" " + first) + b"".join(self.part(x) for x in rest if x)
-        else:
-            out = self.encoded(" " + chunk)
-        if "\n" not in chunk:
-            self[chunk] = out
+        self[chunk] = out
         return out
 
     def chunks(self, text: str) -> list[str] | None:
