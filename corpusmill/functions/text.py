@@ -41,7 +41,8 @@ def terms(c: Column, stop_words: list[str] = STOP_WORDS, least_chars: int = 2) -
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
     han = lambda t: F.when(t.rlike(r"^\p{IsHan}{2}"), pairs(t)).otherwise(F.array(t))
     mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0)), han))
-    runs = F.when(text.rlike(r"\p{IsHan}"), mixed).otherwise(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    # all Han signs come after U+2E7F: a range is found faster than a script
+    runs = F.when(text.rlike(r"[\x{2E80}-\x{10FFFF}]") & text.rlike(r"\p{IsHan}"), mixed).otherwise(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return F.filter(runs, lambda t: (F.length(t) >= least_chars) & ~t.isin(stop_words))
 
 

@@ -51,6 +51,27 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _postings(_tokens(chunks, id_col, text_col))
 
 
+def term_counts(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, df (chunks that have it), occurrences: what ``postings`` sums up to, without a row for a posting.
+
+    A row's terms are counted where it lies, its distinct ones before all of them. Rows that share an id are one
+    chunk; only these go by their postings.
+    """
+    shared = written(chunks.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "shared-ids")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    several = not shared.isEmpty()
+    own = chunks.join(shared, same, "left_anti") if several else chunks
+    both = _tokens(own, id_col, text_col).select("t", F.array_distinct("t").alias("d")).select(F.size("d").alias("n"), F.concat("d", "t").alias("all"))
+    # explode would filter on the size of the array first, and so cut each text into terms twice
+    one = both.select("n", F.posexplode_outer("all").alias("at", "term")).where("term IS NOT NULL")
+    first = F.col("at") < F.col("n")
+    counts = one.groupBy("term").agg(F.count_if(first).alias("df"), F.count_if(~first).alias("occurrences"))
+    if several:
+        joint = postings(chunks.join(shared, same, "left_semi"), id_col, text_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+        counts = counts.unionByName(joint).groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
+    return counts
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, top_k: int) -> DataFrame:
     """The best ``top_k`` chunks of each query with a score above 0: query_id, chunk_id, score, rank.
 

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 import pyarrow as pa
 
 from corpusmill.operators import keyword_index as K
+from corpusmill.plans import QUERIES
 
 
 def shuffled(spark):
@@ -42,3 +43,23 @@ def test_pages_of_any_cut_hold_all_postings(monkeypatch):
     assert found == sorted((i, w, n, len(t)) for i, t in texts for w, n in Counter(t).items())
     assert len({(r["page"], r["term"]) for r in blocks}) == len(blocks) and {r["page"] >> 32 for r in blocks} == {3}
     assert all(r["most_tf"] == max(r["tfs"]) and r["least_len"] == min(r["doc_lens"]) and len(r["tfs"]) <= 7 for r in blocks)
+
+
+def test_terms_are_counted_without_a_row_for_a_posting(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(40))) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
+    before = shuffled(spark)
+    found = sorted(map(tuple, QUERIES["index_terms"](spark, f"{tmp_path}/one").collect()))
+    # 20,942 bytes, and 326,480 when each posting was a row
+    assert shuffled(spark) - before < 60_000
+    words = [t.split() for _, t in rows]
+    df, occurrences = Counter(w for t in words for w in set(t)), Counter(w for t in words for w in t)
+    assert found == sorted((w, df[w], occurrences[w]) for w in df)
+
+
+def test_rows_of_one_id_count_as_one_chunk(spark, tmp_path):
+    rows = [(1, "red red fox"), (1, "red hen"), (None, "fox cow"), (None, "fox"), (2, None), (3, ""), (4, "the 北京北京 x red"), (5, "北京 ⺀⺀ über")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/two/documents.parquet")
+    found = {r.term: (r.df, r.occurrences) for r in QUERIES["index_terms"](spark, f"{tmp_path}/two").collect()}
+    assert found == {"red": (2, 4), "fox": (2, 3), "hen": (1, 1), "cow": (1, 1), "北京": (2, 3), "京北": (1, 1), "⺀⺀": (1, 1), "über": (1, 1)}
