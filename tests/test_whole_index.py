@@ -31,6 +31,16 @@ def test_postings_are_shuffled_once(spark, tmp_path):
     assert {r.term: r.df for r in K.read(spark, path).terms.groupBy("term").agg({"df": "sum"}).toDF("term", "df").collect()} == Counter(w for _, t in rows for w in t.split())
 
 
+def test_many_chunks_gone_are_found_by_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "BROADCAST_BYTES", -1)
+    rows, path = [(i, f"red w{i % 7}") for i in range(60)], f"{tmp_path}/ix"
+    K.build(spark.createDataFrame(rows, "id long, text string"), path, "id", "text")
+    K.removed(spark.createDataFrame([(i,) for i in range(0, 50, 2)], "id long"), path, "id")
+    index = K.read(spark, path)
+    left = Counter(w for i, t in rows if i >= 50 or i % 2 for w in t.split())
+    assert {r.term: r["sum(df)"] for r in index.terms.groupBy("term").sum("df").collect()} == left and index.live_docs().count() == 35
+
+
 def test_pages_of_any_cut_hold_all_postings(monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(K, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
